@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parents[2])
 #: Bytes of text that one numpy pass handles at a time.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,3 +77,51 @@ def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         return x ^ (x >> np.uint64(31))
+
+
+#: The white space that separates words, as bytes.
+SPACES = bytes([0x20, *range(0x09, 0x0E)])
+IS_SPACE = np.isin(np.arange(256), list(SPACES))
+LOWERED = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+_BASE = 0x5851F42D4C957F2D
+_LETTERS = mixed(np.arange(256), 3) | np.uint64(1)
+_powers: list[np.ndarray] = []
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the hash base and of its inverse modulo 2^64, kept for the next call."""
+    if not _powers or len(_powers[0]) < n:
+        size = max(n, BLOCK_BYTES // 2)
+        _powers.clear()
+        with np.errstate(over="ignore"):
+            for base in (_BASE, pow(_BASE, -1, 2**64)):
+                steps = np.full(size, base, np.uint64)
+                steps[0] = 1
+                _powers.append(np.multiply.accumulate(steps))
+    return _powers[0][:n], _powers[1][:n]
+
+
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte, end byte and row of each word in rows that lie one after the other from offsets[0] on; positions count from there."""
+    text = data[offsets[0] : offsets[-1]]
+    if not len(text):
+        none = np.zeros(0, np.int64)
+        return none, none, none
+    inner = ~IS_SPACE[text]
+    edge = np.zeros(len(text) + 1, bool)
+    edge[offsets - offsets[0]] = True
+    starts, ends = inner.copy(), inner.copy()
+    starts[1:] &= ~inner[:-1] | edge[1:-1]
+    ends[:-1] &= ~inner[1:] | edge[1:-1]
+    first, end = np.flatnonzero(starts), np.flatnonzero(ends) + 1
+    return first, end, np.searchsorted(offsets - offsets[0], first, side="right") - 1
+
+
+def span_hashes(text: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span: a polynomial in randomised letters, from running sums, then mixed."""
+    if not len(first):
+        return np.zeros(0, np.uint64)
+    up, down = powers(len(text))
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LETTERS[text] * up, dtype=np.uint64)])
+        return mixed((sums[end] - sums[first]) * down[first])

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fathom.llm import bpe, mixing, sharding
+from fathom.llm import bpe, langid, media_gif, mixing, quality, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op2_poisson_mixing": mixing.op2_poisson_mixing,
+        "op3_subword_quality": quality.op3_subword_quality,
+        "op6_gif_media": media_gif.op6_gif_media,
+        "op7_cross_parsing": langid.op7_cross_parsing,
         "op9_jump_sharding": sharding.op9_jump_sharding,
         "op10_bpe_rank_array": bpe.op10_bpe_rank_array,
     }
