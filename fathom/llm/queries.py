@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fathom.llm import bpe, langid, media_gif, mixing, quality, sharding
+from fathom.llm import bpe, langid, media_gif, mixing, pii, quality, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,7 @@ def queries() -> dict[str, Query]:
     return {
         "op2_poisson_mixing": mixing.op2_poisson_mixing,
         "op3_subword_quality": quality.op3_subword_quality,
+        "op4_boosted_pii": pii.op4_boosted_pii,
         "op6_gif_media": media_gif.op6_gif_media,
         "op7_cross_parsing": langid.op7_cross_parsing,
         "op9_jump_sharding": sharding.op9_jump_sharding,
