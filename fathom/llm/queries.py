@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fathom.llm import bpe, langid, media_gif, mixing, pii, quality, sharding
+from fathom.llm import bpe, langid, media_gif, minhash, mixing, pii, quality, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_setsketch_minhash": minhash.op1_setsketch_minhash,
         "op2_poisson_mixing": mixing.op2_poisson_mixing,
         "op3_subword_quality": quality.op3_subword_quality,
         "op4_boosted_pii": pii.op4_boosted_pii,
