@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fathom.llm import bpe, langid, media_gif, minhash, mixing, pii, quality, sharding
+from fathom.llm import bpe, langid, media_gif, minhash, mixing, pii, quality, sharding, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,7 @@ def queries() -> dict[str, Query]:
         "op4_boosted_pii": pii.op4_boosted_pii,
         "op6_gif_media": media_gif.op6_gif_media,
         "op7_cross_parsing": langid.op7_cross_parsing,
+        "op8_sparse_suffix_array": substring_dedup.op8_sparse_suffix_array,
         "op9_jump_sharding": sharding.op9_jump_sharding,
         "op10_bpe_rank_array": bpe.op10_bpe_rank_array,
     }
