@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fathom.llm import bpe, langid, media_gif, minhash, mixing, pii, quality, sharding, substring_dedup
+from fathom.llm import bpe, langid, media_gif, minhash, mixing, pii, quality, sharding, substring_dedup, vector_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,7 @@ def queries() -> dict[str, Query]:
         "op2_poisson_mixing": mixing.op2_poisson_mixing,
         "op3_subword_quality": quality.op3_subword_quality,
         "op4_boosted_pii": pii.op4_boosted_pii,
+        "op5_pruned_graph": vector_dedup.op5_pruned_graph,
         "op6_gif_media": media_gif.op6_gif_media,
         "op7_cross_parsing": langid.op7_cross_parsing,
         "op8_sparse_suffix_array": substring_dedup.op8_sparse_suffix_array,
