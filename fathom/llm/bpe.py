@@ -130,6 +130,15 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     return _mapped(docs, path, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", each, [pa.int64(), pa.string(), pa.string()])
 
 
+def tokenised(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, n_tokens, ids, ids_sha256, decoded_sha256 of every row."""
+
+    def each(ids: list[int], text: str) -> tuple:
+        return len(ids), np.array(ids, np.int32), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
+
+    return _mapped(docs, path, "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string", each, [pa.int64(), pa.list_(pa.int32()), pa.string(), pa.string()])
+
+
 def _mapped(docs: DataFrame, path: str | None, schema: str, each, kinds: list[pa.DataType]) -> DataFrame:
     reachable(docs.sparkSession)
     path = path or default_vocabulary()

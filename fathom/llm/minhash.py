@@ -218,6 +218,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, least: tuple[int, int] = (8
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def deduplicated(docs: DataFrame, width: int = 5, least: tuple[int, int] = (80, 100)) -> DataFrame:
+    """The rows of `docs` that are kept: of each group the row with the smallest id, once if it is repeated; rows with a null id all stay."""
+    kept = stored(near_duplicates(docs, width, least).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct())
+    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return named.select(docs.columns).union(docs.where("doc_id IS NULL"))
+
+
 def _own(width: int):
     """Keeps, of the texts found under a node's label, one whose set is the node's (ids may repeat with other texts)."""
 

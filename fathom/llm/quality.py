@@ -138,17 +138,17 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray, int]]) -> Model:
     return Model((embed @ (out[:, 1] - out[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """`docs` with score (0 to 1) last; an existing column of that name is replaced."""
+def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """`docs` with the score (0 to 1) last, as column `name`; an existing column of that name is replaced."""
     reachable(docs.sparkSession)
-    docs = docs.drop("score")
+    docs = docs.drop(name)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.scores(*utf8(b.column(at))))], names=[*b.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.scores(*utf8(b.column(at))))], names=[*b.schema.names, name])
 
-    return docs.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "score double"]))
+    return docs.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{name}` double"]))
 
 
 def model_of(spark: SparkSession, sf_dir: str) -> Model:
