@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from fathom.plans import chunking
+from fathom.plans import chunking, search
 
-MODULES = [chunking]
+MODULES = [chunking, search]
 
 
 def queries() -> dict:
