@@ -11,19 +11,18 @@ from fathom.llm.common import stored
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) of every node of the edges (a, b); comp is the smallest node reachable.
 
-    Each round hooks every component to the smallest component that one of its edges reaches, follows that
-    hook twice, and stores the labels; it ends when no label changes. Nothing is collected.
+    Each round hooks every node to its smallest neighbour if that is smaller, follows hooks once more, and
+    contracts the edges, which shrink at least by the hooked nodes; it ends when none is left. Nothing is collected.
     """
-    both = stored(edges.select("a", "b").union(edges.select("b", "a")).toDF("a", "b").where("a <> b").distinct())
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")))
-    while True:
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("m"))
-        seen = labels.join(near, "node").select("node", "comp", F.least("comp", "m").alias("m"))
-        hook = seen.groupBy("comp").agg(F.min("m").alias("m"))
-        # a hook's target may be hooked itself; targets that nobody carries as a label yet stay as they are
-        far = hook.join(hook.select(F.col("comp").alias("m"), F.col("m").alias("further")), "m", "left").select("comp", F.coalesce("further", "m").alias("to"))
-        new = stored(seen.join(far, "comp").select("node", F.least("m", "to").alias("comp"), (F.least("m", "to") < F.col("comp")).alias("moved")))
-        moved = new.where("moved").limit(1).count()
-        labels = new.drop("moved")
-        if not moved:
-            return labels
+    ends = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = stored(ends.distinct())
+    labels = rest.select(F.col("a").alias("node")).union(rest.select("b")).distinct().withColumn("comp", F.col("node"))
+    while rest.limit(1).count():
+        up = rest.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("to"))
+        further = up.select(F.col("node").alias("to"), F.col("to").alias("top"))
+        hooks = stored(up.join(further, "to", "left").select("node", F.coalesce("top", "to").alias("to")))
+        at = lambda c: hooks.select(F.col("node").alias(c), F.col("to").alias(f"to_{c}"))  # noqa: B023, E731
+        moved = rest.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("to_a", "a").alias("x"), F.coalesce("to_b", "b").alias("y"))
+        rest = stored(moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        labels = stored(labels.join(at("comp"), "comp", "left").select("node", F.coalesce("to_comp", "comp").alias("comp")))
+    return labels

@@ -6,12 +6,14 @@ registers are as likely as sets are similar. Work runs in these steps:
 
 1. every text is hashed into its set of shingles; sets get an exact 128-bit fingerprint and a sketch;
 2. equal sets become one node, so that exact copies cost one row each from here on;
-3. registers are banded, BANDS of ROWS; a band's bucket proposes pairs of its members with its first member;
-4. proposals whose similarity, estimated jointly from all registers and both set sizes by maximum
-   likelihood, is too far below the threshold (SIGMAS standard errors) are dropped;
-5. the others are verified on full sets, recomputed from the texts; links give components;
-6. members of a bucket that are in different components by now are proposed pairwise and go through 4 and 5
-   again, so that no proposal of any bucket is lost, and groups of copies never expand into all pairs.
+3. registers are banded, BANDS of ROWS; the members of a band's bucket are tied to its first member, and the
+   components of these ties are clusters: two nodes that share a band are in one cluster;
+4. a cluster is dealt into blocks of about BLOCK nodes, and each two blocks meet in one group. There, pairs that
+   share a band and fit by size are estimated jointly from all registers and both set sizes by maximum
+   likelihood; those more than SIGMAS standard errors below the threshold are dropped;
+5. the others are verified on full sets, likelier ones first, unless verified links join them already;
+   what leaves a group is a spanning forest, so groups of copies never expand into pairs of rows;
+6. the links' components are the result.
 
 A pair at the threshold misses all bands with probability (1 - t^ROWS)^BANDS: 8e-7 for 0.85, 7e-5 for 0.8.
 
@@ -36,8 +38,8 @@ BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
 SCALE_BASE, RATE, LIMIT = 1.001, 20.0, 65535
 SIGMAS = 5.0
-#: Members of a group that one task verifies against the group's first text.
-GROUP = 256
+#: Nodes of a block; two blocks meet in one task at a time.
+BLOCK = 512
 _FACTORS = mixed(np.arange(REGISTERS), 7) | np.uint64(1)
 
 
@@ -133,57 +135,90 @@ def band_keys(regs: Column) -> Column:
     return F.array(*[F.xxhash64(F.lit(i), F.substring(regs, 2 * ROWS * i + 1, 2 * ROWS)) for i in range(BANDS)])
 
 
-def likely(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """The (a, b) of distinct pairs whose estimated similarity does not rule out `threshold`."""
-    least = threshold - SIGMAS * math.sqrt(threshold * (1 - threshold) / REGISTERS)
+def spanning_links(regs: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], block: np.ndarray, least: tuple[int, int]) -> list[tuple[int, int]]:
+    """Links that join the rows as all verified links would: likelier pairs first, pairs already joined are skipped.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), "<u2").reshape(-1, REGISTERS) for i in (4, 5))
-            na, nb = (b.column(i).to_numpy().astype(float) for i in (2, 3))
-            good = similarity(x, y, na, nb) >= least
-            yield b.select(["a", "b"]).filter(pa.array(good))
-
-    one = lambda name: nodes.select(F.col("node").alias(name), F.col("n_shingles").alias(f"n{name}"), F.col("regs").alias(f"r{name}"))
-    full = pairs.join(one("a"), "a").join(one("b"), "b").where(F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9)
-    return full.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long")
-
-
-def verified(pairs: DataFrame, texts: DataFrame, width: int, least: tuple[int, int]) -> DataFrame:
-    """The (a, b) among the pairs whose full sets satisfy least[1] * intersection >= least[0] * union.
-
-    Pairs are grouped by their first node, at most about GROUP to a group; a group's rows arrive with the first
-    node's text ahead of the others', so that a task holds one set at a time and shuffles each text once.
+    Pairs share a band, fit by size, and lie in different blocks if there are two.
     """
     share, whole = least
+    threshold = share / whole
+    floor = threshold - SIGMAS * math.sqrt(threshold * (1 - threshold) / REGISTERS)
+    with np.errstate(over="ignore"):
+        bands = (regs.reshape(len(regs), BANDS, ROWS).astype(np.uint64) * (mixed(np.arange(ROWS), 8) | np.uint64(1))).sum(2, dtype=np.uint64)
+    together = np.zeros((len(regs), len(regs)), bool)
+    for k in range(BANDS):
+        together |= bands[:, k, None] == bands[:, k]
+    together &= np.minimum(sizes[:, None], sizes) >= threshold * np.maximum(sizes[:, None], sizes) - 1e-9
+    if block.min() != block.max():
+        together &= block[:, None] != block
+    x, y = np.nonzero(np.triu(together, 1))
+    score = np.concatenate([similarity(regs[x[k : k + 20_000]], regs[y[k : k + 20_000]], sizes[x[k : k + 20_000]], sizes[y[k : k + 20_000]]) for k in range(0, len(x), 20_000)]) if len(x) else np.zeros(0)
+    order = np.argsort(-score, kind="stable")
+    order = order[score[order] >= floor]
+    head, out = list(range(len(regs))), []
+
+    def root(i: int) -> int:
+        while head[i] != i:
+            head[i] = head[head[i]]
+            i = head[i]
+        return i
+
+    for i, j in zip(x[order].tolist(), y[order].tolist(), strict=True):
+        p, q = root(i), root(j)
+        if p == q:
+            continue
+        a, b = sets[i], sets[j]
+        where = np.minimum(np.searchsorted(a, b), len(a) - 1)
+        common = int((a[where] == b).sum())
+        if whole * common >= share * (len(a) + len(b) - common):
+            head[max(p, q)] = min(p, q)
+            out.append((i, j))
+    return out
+
+
+def verified(rows: DataFrame, width: int, least: tuple[int, int]) -> DataFrame:
+    """Links (a, b) that span what the verified links of each cluster of (cluster, blocks, node, n_shingles, regs, text) join.
+
+    A cluster's nodes are dealt into blocks by hash and every two blocks meet in one group, which one task holds
+    at a time, so that a cluster of any size spreads over tasks and no pairs leave a task but links of a spanning forest.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, None
-        for b in batches:
-            data, offsets = utf8(b.column(4))
-            key = list(zip(*(b.column(i).to_pylist() for i in (0, 1)), strict=True))
-            role, node = b.column(2).to_pylist(), b.column(3).to_pylist()
+        def links(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+            node = np.concatenate([p.column(4).to_numpy() for p in parts])
             out: list[tuple[int, int]] = []
-            for lo, hi in blocks(offsets):
-                sets, cuts = shingle_sets(data, offsets[lo : hi + 1], width)
-                for i in range(lo, hi):
-                    own = sets[cuts[i - lo] : cuts[i - lo + 1]]
-                    if role[i] == 0:
-                        at, held = key[i], own
-                    elif at == key[i]:
-                        both = np.searchsorted(held, own)
-                        common = int((held[np.minimum(both, len(held) - 1)] == own).sum()) if len(held) else 0
-                        if whole * common >= share * (len(held) + len(own) - common):
-                            out.append((key[i][0], node[i]))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
-    sizes = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("parts"))
-    members = pairs.join(sizes, "a").select("a", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"), F.lit(1).alias("role"), F.col("b").alias("node"))
-    leaders = sizes.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), F.col("a").alias("node"))
-    rows = leaders.union(members).join(texts, "node").select("a", "part", "role", "node", "text")
-    return rows.repartition("a", "part").sortWithinPartitions("a", "part", "role").mapInArrow(run, "a long, b long")
+            if len(node) > 1:
+                block = np.concatenate([p.column(3).to_numpy() for p in parts])
+                sizes = np.concatenate([p.column(5).to_numpy() for p in parts]).astype(float)
+                regs = np.frombuffer(b"".join(x for p in parts for x in p.column(6).to_pylist()), "<u2").reshape(-1, REGISTERS)
+                sets = []
+                for p in parts:
+                    data, offsets = utf8(p.column(7))
+                    for lo, hi in blocks(offsets):
+                        own, cuts = shingle_sets(data, offsets[lo : hi + 1], width)
+                        sets += [own[c:d] for c, d in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+                out = spanning_links(regs, sizes, sets, block, least)
+            return pa.RecordBatch.from_arrays([pa.array([node[x[k]] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        at, parts = None, []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            group = np.stack([b.column(k).to_numpy() for k in range(3)], 1)
+            cuts = np.concatenate([[0], np.flatnonzero((group[1:] != group[:-1]).any(1)) + 1, [b.num_rows]])
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if tuple(group[lo]) != at and parts:
+                    yield links(parts)
+                    parts = []
+                at = tuple(group[lo])
+                parts.append(b.slice(lo, hi - lo))
+        if parts:
+            yield links(parts)
+
+    own = rows.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    groups = met.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n_shingles", "regs", "text")
+    return groups.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, least: tuple[int, int] = (80, 100)) -> DataFrame:
@@ -191,25 +226,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, least: tuple[int, int] = (8
 
     Documents are linked if least[1] * intersection >= least[0] * union of their sets of `width`-word shingles.
     """
-    threshold = least[0] / least[1]
     rows = stored(sketched(docs, width))
     live = rows.where(F.col("regs").isNotNull() & F.col("doc_id").isNotNull())
     nodes = stored(live.groupBy("node", "check", "n_shingles").agg(F.min("doc_id").alias("label"), F.first("regs").alias("regs")))
     bands = nodes.select("node", F.explode(band_keys(F.col("regs"))).alias("key"))
-    buckets = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("head")).where("n > 1")
-    members = stored(bands.join(buckets.select("key", "head"), "key"))
-    wanted = members.select("node").distinct().join(nodes.select("node", "label"), "node")
-    texts = stored(docs.select(F.col("doc_id").cast("long").alias("label"), "text").join(wanted, "label").select("node", "text").transform(_own(width)))
-    stars = members.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    links = stored(verified(likely(stars, nodes, threshold), texts, width, least))
-    found = components(links)
-    placed = members.join(found, "node", "left").select("key", "head", "node", F.coalesce("comp", "node").alias("comp"))
-    mixed_keys = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
-    open_rows = stored(placed.join(mixed_keys, "key").where("node <> head").select("key", "node", "comp"))
-    other = open_rows.select("key", F.col("node").alias("b"), F.col("comp").alias("comp_b"))
-    rest = open_rows.withColumnRenamed("node", "a").join(other, "key").where("a < b AND comp <> comp_b").select("a", "b").distinct()
-    more = stored(verified(likely(rest, nodes, threshold), texts, width, least))
-    final = components(links.union(more))
+    buckets = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("head")).where("n > 1").select("key", "head")
+    stars = bands.join(buckets, "key").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    clusters = components(stars).select("node", F.col("comp").alias("cluster"))
+    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    wanted = stored(clusters.join(sizes, "cluster").join(nodes, "node").select("node", "cluster", "blocks", "label", "n_shingles", "regs"))
+    named = docs.select(F.col("doc_id").cast("long").alias("label"), "text").join(wanted.select("label", "node"), "label").select("node", "text")
+    texts = own_texts(named, width)
+    final = components(verified(wanted.drop("label").join(texts, "node").select("cluster", "blocks", "node", "n_shingles", "regs", "text"), width, least))
     labelled = nodes.select("node", "label").join(final, "node", "left").select("node", "label", F.coalesce("comp", "node").alias("comp"))
     smallest = labelled.groupBy("comp").agg(F.min("label").alias("component"))
     of_node = labelled.join(smallest, "comp").select("node", "component")
@@ -225,29 +253,26 @@ def deduplicated(docs: DataFrame, width: int = 5, least: tuple[int, int] = (80,
     return named.select(docs.columns).union(docs.where("doc_id IS NULL"))
 
 
-def _own(width: int):
-    """Keeps, of the texts found under a node's label, one whose set is the node's (ids may repeat with other texts)."""
-
-    def apply(found: DataFrame) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                data, offsets = utf8(b.column(1))
-                want = b.column(0).to_numpy().view(np.uint64)
-                good = np.zeros(b.num_rows, bool)
-                for lo, hi in blocks(offsets):
-                    sets, cuts = shingle_sets(data, offsets[lo : hi + 1], width)
-                    size = np.diff(cuts)
-                    full = np.flatnonzero(size)
-                    if len(full):
-                        own = np.concatenate([cuts[full], cuts[-1:]])
-                        with np.errstate(over="ignore"):
-                            node = mixed(np.add.reduceat(mixed(sets, 20), own[:-1]) + size[full].astype(np.uint64), 22)
-                        good[lo + full] = node == want[lo + full]
-                yield b.filter(pa.array(good))
-
-        return found.mapInArrow(run, "node long, text string").dropDuplicates(["node"])
-
-    return apply
+def own_texts(found: DataFrame, width: int) -> DataFrame:
+    """Of the (node, text) found under nodes' labels, one text whose set is the node's (an id may repeat with other texts)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, offsets = utf8(b.column(1))
+            want = b.column(0).to_numpy().view(np.uint64)
+            good = np.zeros(b.num_rows, bool)
+            for lo, hi in blocks(offsets):
+                sets, cuts = shingle_sets(data, offsets[lo : hi + 1], width)
+                size = np.diff(cuts)
+                full = np.flatnonzero(size)
+                if len(full):
+                    own = np.concatenate([cuts[full], cuts[-1:]])
+                    with np.errstate(over="ignore"):
+                        node = mixed(np.add.reduceat(mixed(sets, 20), own[:-1]) + size[full].astype(np.uint64), 22)
+                    good[lo + full] = node == want[lo + full]
+            yield b.filter(pa.array(good))
+
+    return found.mapInArrow(run, "node long, text string").dropDuplicates(["node"])
 
 
 def op1_setsketch_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
