@@ -63,6 +63,22 @@ def top_k(items: DataFrame, queries: DataFrame, k: int, metric: str = "cosine",
     return ranked(scored, k)
 
 
+def similar_pairs(items: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, sim), a < b, of all items (item_id, vec) whose cosine reaches the threshold, by pairs of blocks as in top_k()."""
+    blocks = _packed(items, "item_id", "vec", BLOCK, "i").crossJoin(_packed(items, "item_id", "vec", QUERY_BLOCK, "q"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                ids, x, qids, q = (b.column(c)[r].values.to_numpy() for c in range(4))
+                x, q = x.reshape(len(ids), -1), q.reshape(len(qids), -1)
+                s = np.round(q @ x.T / (np.sqrt((q * q).sum(1))[:, None] * np.sqrt((x * x).sum(1)) + V.EPSILON), DIGITS)
+                i, j = np.nonzero((s >= threshold) & (qids[:, None] < ids))
+                yield pa.RecordBatch.from_arrays([pa.array(qids[i]), pa.array(ids[j]), pa.array(s[i, j])], names=["a", "b", "sim"])
+
+    return blocks.mapInArrow(run, "a long, b long, sim double")
+
+
 def ranked(scored: DataFrame, k: int | None = None, keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """The rows with rank (from 1) by score falling and id rising, the first k of them."""
     out = scored.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "item_id")))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from fathom.plans import chunking, search
+from fathom.plans import chunking, reasoning, search
 
-MODULES = [chunking, search]
+MODULES = [chunking, search, reasoning]
 
 
 def queries() -> dict:
