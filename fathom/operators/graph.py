@@ -95,12 +95,9 @@ def louvain_labels(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
                     links[comm[u]] = links.get(comm[u], 0) + w
                 gain = lambda c: links.get(c, 0.0) - mass[c] * degree[v] / (2 * total)  # noqa: B023, E731
                 best = min([own, *links], key=lambda c: (-round(gain(c), 12), c != own, c))  # noqa: B023
-                mass[best] += degree[v]
                 if best != own and gain(best) > gain(own) + 1e-12:
                     comm[v], moved, improved = best, True, True
-                elif best != own:
-                    mass[best] -= degree[v]
-                    mass[own] += degree[v]
+                mass[comm[v]] += degree[v]
         if not improved:
             return label_of
         dense = {c: i for i, c in enumerate(sorted(set(comm)))}
