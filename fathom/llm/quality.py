@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from fathom.llm.common import IS_SPACE, blocks, reachable, span_hashes, table, utf8, word_spans
 from fathom.llm.langid import remainder
 
-TRAIN_ROWS = 4000
+TRAIN_ROWS = 2000
 BITS = 16
 GRAMS = (2, 3, 4)
 #: A word that repeats the one so many words before it has a feature of its own for each such distance.
