@@ -3,34 +3,21 @@
 from __future__ import annotations
 
 import atexit
-import os
 import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-ROOT = str(Path(__file__).resolve().parents[2])
+from fathom.sources.tables import reachable, table
+
+__all__ = ["blocks", "forget", "mixed", "powers", "reachable", "shared_dir", "span_hashes", "stored", "table", "utf8", "word_spans"]
 #: Bytes of text that one numpy pass handles at a time.
 BLOCK_BYTES = 1 << 20
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The Parquet table `name` of a data folder."""
-    reachable(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def reachable(spark: SparkSession) -> None:
-    """Lets Python workers import this package from where the driver has it."""
-    env = spark.sparkContext.environment
-    have = env.get("PYTHONPATH") or os.environ.get("PYTHONPATH", "")
-    if ROOT not in have.split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, have]))
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,9 +35,19 @@ def stored(df: DataFrame, parts: int | None = None) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/fathom-{uuid.uuid4().hex}"
     (df.coalesce(parts) if parts else df).write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession) -> int:
+    """Deletes the intermediate tables below spark.checkpoint.dir that this process wrote; call it when results are written."""
+    hadoop, n = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, 0
+    while _written:
+        path = hadoop(_written.pop())
+        n += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and its n+1 offsets; nulls are empty."""
     column = column.fill_null("") if column.null_count else column
@@ -118,10 +115,18 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def span_hashes(text: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span: a polynomial in randomised letters, from running sums, then mixed."""
-    if not len(first):
-        return np.zeros(0, np.uint64)
-    up, down = powers(len(text))
-    with np.errstate(over="ignore"):
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LETTERS[text] * up, dtype=np.uint64)])
-        return mixed((sums[end] - sums[first]) * down[first])
+    """A 64-bit hash of the bytes of each span: a polynomial in randomised letters, from running sums, then mixed.
+
+    Spans are in order and disjoint; a long text is hashed in pieces of about BLOCK_BYTES, so memory does not follow it.
+    """
+    out, at = np.zeros(len(first), np.uint64), 0
+    while at < len(first):
+        low = int(first[at])
+        upto = max(at + 1, int(np.searchsorted(end, low + BLOCK_BYTES, side="right")))
+        piece = text[low : end[upto - 1]]
+        up, down = powers(len(piece))
+        with np.errstate(over="ignore"):
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LETTERS[piece] * up, dtype=np.uint64)])
+            out[at:upto] = mixed((sums[end[at:upto] - low] - sums[first[at:upto] - low]) * down[first[at:upto] - low])
+        at = upto
+    return out

@@ -8,7 +8,7 @@ partitions and ordered inside them (a uniform global shuffle without a sampling
 Rates come from one count per source. Only the sources named in `weights` join it, so the broadcast has at
 most len(weights) rows, whatever the data. Rows of other or null sources have the rate `other`. A null
 doc_id draws as the id "null"; repeated rows draw alike; null and empty texts are rows like others; rates
-are at most MAX_RATE; an empty table gives none.
+are at most MAX_RATE; an empty table gives none. Columns whose names start with mix_ are replaced.
 """
 
 from __future__ import annotations

@@ -10,7 +10,7 @@ CASE expressions.
 
 Regular expressions are possessive or of bounded depth, so that long runs neither overflow the stack nor take
 quadratic time. Positions are code points, ends exclusive. Null texts are empty; empty texts have no spans;
-repeated rows give repeated rows; an empty table gives none.
+repeated rows give repeated rows; an empty table gives none. Columns whose names start with pii_ are dropped.
 """
 
 from __future__ import annotations

@@ -27,4 +27,9 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_poisson_mixing": mixing.OP2_SQL}
+    return {
+        "op1_setsketch_minhash": minhash.OP1_SQL,
+        "op2_poisson_mixing": mixing.OP2_SQL,
+        "op5_pruned_graph": vector_dedup.OP5_SQL,
+        "op8_sparse_suffix_array": substring_dedup.OP8_SQL,
+    }

@@ -186,3 +186,14 @@ def passages(docs: DataFrame) -> DataFrame:
 def op8_sparse_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = passages(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.col("start_word").cast("long"), F.col("end_word").cast("long"), (F.col("end_word") - F.col("start_word")).cast("long").alias("n_words"))
+
+
+OP8_SQL = r"""
+WITH w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents WHERE text IS NOT NULL),
+ i AS MATERIALIZED (SELECT doc_id, w, unnest(range(0, len(w) - 49)) AS i FROM w WHERE len(w) >= 50),
+ g AS MATERIALIZED (SELECT doc_id, i, md5(array_to_string(w[i + 1:i + 50], ' ')) AS h FROM i),
+ h AS (SELECT h FROM g GROUP BY h HAVING min(doc_id) <> max(doc_id)),
+ c AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM g SEMI JOIN h USING (h)),
+ k AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM c)
+SELECT doc_id, min(i)::BIGINT AS start_word, (max(i) + 50)::BIGINT AS end_word, (max(i) + 50 - min(i))::BIGINT AS n_words FROM k GROUP BY doc_id, island
+"""

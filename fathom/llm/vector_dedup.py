@@ -336,3 +336,13 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD) ->
 
 def op5_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+OP5_SQL = """
+WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS x, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda y: y * y))) AS n FROM embeddings),
+ g AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id
+   AND list_sum(list_transform(list_zip(a.x, b.x), lambda y: y[1] * y[2])) / (a.n * b.n) >= 0.9::DOUBLE),
+ r(node, other) AS (SELECT a, b FROM g UNION SELECT r.node, g.b FROM r JOIN g ON g.a = r.other)
+SELECT v.vec_id, (SELECT count(*) FROM g WHERE g.a = v.vec_id) AS n_links, least(v.vec_id, coalesce(m.low, v.vec_id)) AS component_id, v.vec_id <= coalesce(m.low, v.vec_id) AS kept
+FROM v LEFT JOIN (SELECT node, min(other) AS low FROM r GROUP BY 1) m ON m.node = v.vec_id
+"""

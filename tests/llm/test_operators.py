@@ -302,3 +302,29 @@ def test_registered():
     names = list(queries.queries())
     assert [n.split("_")[0] for n in names] == [f"op{i}" for i in (1, 2, 3, 4, 5, 6, 7, 8, 9, 10)] or len({n.split("_")[0] for n in names}) == 10
     assert set(queries.oracle_sql()) <= set(names)
+
+
+def test_hashes_do_not_depend_on_blocks(monkeypatch):
+    from fathom.llm import common
+
+    texts = ["one two  three", "", "é" * 50 + " x", "word " * 300, "long" * 100]
+    data, offsets = utf8(pa.array(texts))
+    first, end, row = common.word_spans(data, offsets)
+    whole = common.span_hashes(data[: offsets[-1]], first, end)
+    for size in (1, 7, 64):
+        monkeypatch.setattr(common, "BLOCK_BYTES", size)
+        assert (common.span_hashes(data[: offsets[-1]], first, end) == whole).all()
+    words = [t.split() for t in texts]
+    assert [sum(row == i) for i in range(len(texts))] == list(map(len, words))
+    same = {}
+    for h, w in zip(whole.tolist(), sum(words, []), strict=True):
+        assert same.setdefault(w, h) == h
+    assert len(set(same.values())) == len(same)
+
+
+def test_intermediate_tables_are_forgotten(spark):
+    from fathom.llm import common
+
+    common.forget(spark)
+    kept = common.stored(spark.range(3).toDF("a"))
+    assert kept.count() == 3 and common.forget(spark) == 1 and common.forget(spark) == 0
