@@ -277,3 +277,17 @@ def own_texts(found: DataFrame, width: int) -> DataFrame:
 
 def op1_setsketch_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), 3, (85, 100))
+
+
+OP1_SQL = r"""
+WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ i AS MATERIALIZED (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 2) + 1)) AS i FROM w WHERE len(w) > 0),
+ s AS MATERIALIZED (SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + 2], chr(1))) AS s FROM i),
+ n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+ p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+ e AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+ g AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+ r(node, other) AS (SELECT a, b FROM g UNION SELECT r.node, g.b FROM r JOIN g ON g.a = r.other)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(m.low, d.doc_id)) AS component_id, d.doc_id <= coalesce(m.low, d.doc_id) AS kept
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT node AS doc_id, min(other) AS low FROM r GROUP BY 1) m USING (doc_id)
+"""
