@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from fathom.plans import chunking, reasoning, search
+from fathom.plans import chunking, extras, reasoning, search
 
-MODULES = [chunking, search, reasoning]
+MODULES = [chunking, search, reasoning, extras]
 
 
 def queries() -> dict:
