@@ -32,4 +32,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_poisson_mixing": mixing.OP2_SQL,
         "op5_pruned_graph": vector_dedup.OP5_SQL,
         "op8_sparse_suffix_array": substring_dedup.OP8_SQL,
+        "op9_jump_sharding": sharding.OP9_SQL,
     }

@@ -78,3 +78,42 @@ def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 def op9_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded(table(spark, sf_dir, "documents"), SHARDS)
+
+
+_M = "18446744073709551616::UHUGEINT"
+_GOLD = 0x9E3779B97F4A7C15
+
+
+def _mixed_sql(source: str, column: str, salt: int, name: str) -> str:
+    """CTEs after which {name} has column m: the mixed value of `column` of `source`."""
+    c = (salt * _GOLD + _GOLD) % 2**64
+    return f"""
+ {name}1 AS (SELECT *, ({column}::UHUGEINT + {c}::UHUGEINT) % {_M} AS m1 FROM {source}),
+ {name}2 AS (SELECT *, (xor(m1, m1 // {2**30}::UHUGEINT) * {0xBF58476D1CE4E5B9}::UHUGEINT) % {_M} AS m2 FROM {name}1),
+ {name}3 AS (SELECT *, (xor(m2, m2 // {2**27}::UHUGEINT) * {0x94D049BB133111EB}::UHUGEINT) % {_M} AS m3 FROM {name}2),
+ {name} AS MATERIALIZED (SELECT * EXCLUDE (m1, m2, m3), xor(m3, m3 // {2**31}::UHUGEINT) AS m FROM {name}3)"""
+
+
+def _jump_sql(name: str, shards: int) -> str:
+    return f""" {name}(k, key, b, j) AS (SELECT k, k, -1::BIGINT, 0::BIGINT FROM keys
+   UNION ALL SELECT k, key2, j, floor((j + 1) * (2147483648::DOUBLE / ((key2 // {2**33}::UHUGEINT)::DOUBLE + 1)))::BIGINT
+     FROM (SELECT *, (key * 2862933555777941757::UHUGEINT + 1::UHUGEINT) % {_M} AS key2 FROM {name} WHERE j < {shards}))"""
+
+
+#: The checksum byte by byte from a table of 256, the hash and the jumps in 128-bit integers; ids of 0 and more.
+OP9_SQL = f"""
+WITH RECURSIVE tab AS MATERIALIZED (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(0, 8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)::BIGINT AS v FROM range(0, 256) r(i))),
+ hx AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+ bytes_of AS MATERIALIZED (SELECT doc_id, length(x) // 2 + 8 AS size, list_transform(range(0, length(x) // 2), lambda i: ('0x' || substring(x, 2 * i + 1, 2))::BIGINT) AS b FROM hx),
+ crc AS MATERIALIZED (SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, y: xor(c // 256, tab.t[xor(c % 256, y) + 1])), 4294967295)::BIGINT AS text_crc32 FROM bytes_of, tab),
+ {_mixed_sql("crc", "coalesce(doc_id, 0)", 1, "mk").lstrip()},
+ kk AS MATERIALIZED (SELECT * EXCLUDE (m), CASE WHEN doc_id IS NULL THEN {0x5EED}::UHUGEINT ELSE m END AS k FROM mk),
+ {_mixed_sql("kk", "k", 2, "mc").lstrip()},
+ keys AS MATERIALIZED (SELECT DISTINCT k FROM kk),
+{_jump_sql("ja", SHARDS)},
+{_jump_sql("jb", SHARDS + 1)},
+ sa AS (SELECT k, max(b) AS shard FROM ja GROUP BY k), sb AS (SELECT k, max(b) AS grown FROM jb GROUP BY k)
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'key' AS law, shard::INTEGER AS shard,
+ (row_number() OVER (PARTITION BY shard ORDER BY m % {CELLS}::UHUGEINT, doc_id NULLS FIRST, text_crc32, size) - 1)::BIGINT AS slot, grown::INTEGER AS grown_shard
+FROM mc JOIN sa USING (k) JOIN sb USING (k)
+"""
