@@ -44,6 +44,6 @@ def full_ranks(scored: DataFrame, items: DataFrame, queries: DataFrame, depth: i
     """
     from fathom.operators.vector import ranked
 
-    fill = items.select("item_id").orderBy("item_id").limit(depth + 0)
+    fill = items.select("item_id").orderBy("item_id").limit(depth)
     zero = queries.select("query_id").crossJoin(F.broadcast(fill)).join(scored, ["query_id", "item_id"], "left_anti").withColumn("score", F.lit(0.0))  # depth rows
     return ranked(scored.where("score > 0").union(zero), depth)

@@ -32,15 +32,16 @@ def _packed(rows: DataFrame, key: str, vec: str, size: int, prefix: str) -> Data
     return rows.select(F.col(key).cast("long"), F.col(vec).cast("array<double>")).where(F.col(vec).isNotNull()).mapInArrow(run, f"{names[0]} array<long>, {names[1]} array<double>")
 
 
-def top_k(items: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", skip_self: bool = False) -> DataFrame:
+def top_k(items: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", skip_self: bool = False, width: int = 0) -> DataFrame:
     """(query_id, item_id, score, rank) of each query's k best items: score falling, then id.
 
-    items (item_id, vec), queries (query_id, qvec). Both sides are packed into blocks; each pair of blocks is one
+    items (item_id, vec), queries (query_id, qvec). metric: cosine, dot, or max_sim, where vectors are sequences of
+    parts of `width` numbers and the score sums each query part's largest dot product with an item part. Both sides are packed into blocks; each pair of blocks is one
     matrix product that returns its k best per query, so that the shuffle carries k rows a query and block, and
     no task holds more than two blocks. The pairs of blocks are those of an exhaustive search.
     """
-    if metric not in ("cosine", "dot"):
-        raise ValueError(f"unknown metric {metric}")
+    if metric not in ("cosine", "dot", "max_sim") or (metric == "max_sim" and width < 1):
+        raise ValueError(f"unknown metric {metric}, or no width")
     blocks = _packed(items, "item_id", "vec", BLOCK, "i").crossJoin(_packed(queries, "query_id", "qvec", QUERY_BLOCK, "q"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,7 +49,10 @@ def top_k(items: DataFrame, queries: DataFrame, k: int, metric: str = "cosine",
             for r in range(b.num_rows):
                 ids, x, qids, q = (b.column(c)[r].values.to_numpy() for c in range(4))
                 x, q = x.reshape(len(ids), -1), q.reshape(len(qids), -1)
-                s = q @ x.T
+                if metric == "max_sim":
+                    s = (q.reshape(-1, width) @ x.reshape(-1, width).T).reshape(len(qids), -1, len(ids), x.shape[1] // width).max(3).sum(1)
+                else:
+                    s = q @ x.T
                 if metric == "cosine":
                     s = s / (np.sqrt((q * q).sum(1))[:, None] * np.sqrt((x * x).sum(1)) + V.EPSILON)
                 s = np.round(s, DIGITS)

@@ -85,6 +85,19 @@ def test_top_k_prefix_and_probe(spark):
     assert [(r["query_id"], r["item_id"]) for r in vector.diverse(vector.top_k(items, asked, 9), items, 3, 1.0).orderBy("query_id", "pick").collect()] == [(r[0], r[1]) for r in five if r[3] <= 3]
 
 
+def test_max_sim_forms_agree(spark):
+    from fathom.functions import vectors as V
+
+    rng = np.random.default_rng(1)
+    items = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(30, 8)))], "item_id long, vec array<double>")
+    asked = items.where("item_id < 3").select(F.col("item_id").alias("query_id"), F.col("vec").alias("qvec"))
+    got = {(r["query_id"], r["item_id"]): r["score"] for r in vector.top_k(items, asked, 30, "max_sim", width=2).collect()}
+    plain = items.crossJoin(asked).select("query_id", "item_id", V.max_sim(V.parts(F.col("qvec"), 2), V.parts(F.col("vec"), 2)).alias("s")).collect()
+    assert len(got) == 90 and all(got[r["query_id"], r["item_id"]] == pytest.approx(r["s"]) for r in plain)
+    with pytest.raises(ValueError, match="metric"):
+        vector.top_k(items, asked, 1, "max_sim")
+
+
 def test_leaders_fold(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(60, 3))
