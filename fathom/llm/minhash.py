@@ -235,7 +235,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, least: tuple[int, int] = (8
     clusters = components(stars).select("node", F.col("comp").alias("cluster"))
     sizes = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     wanted = stored(clusters.join(sizes, "cluster").join(nodes, "node").select("node", "cluster", "blocks", "label", "n_shingles", "regs"))
-    named = docs.select(F.col("doc_id").cast("long").alias("label"), "text").join(wanted.select("label", "node"), "label").select("node", "text")
+    named = docs.select(F.col("doc_id").cast("long").alias("label"), "text").join(wanted.select("label", "node").hint("merge"), "label").select("node", "text")
     texts = own_texts(named, width)
     final = components(verified(wanted.drop("label").join(texts, "node").select("cluster", "blocks", "node", "n_shingles", "regs", "text"), width, least))
     labelled = nodes.select("node", "label").join(final, "node", "left").select("node", "label", F.coalesce("comp", "node").alias("comp"))
@@ -249,7 +249,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, least: tuple[int, int] = (8
 def deduplicated(docs: DataFrame, width: int = 5, least: tuple[int, int] = (80, 100)) -> DataFrame:
     """The rows of `docs` that are kept: of each group the row with the smallest id, once if it is repeated; rows with a null id all stay."""
     kept = stored(near_duplicates(docs, width, least).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct())
-    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    named = docs.where("doc_id IS NOT NULL").join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return named.select(docs.columns).union(docs.where("doc_id IS NULL"))
 
 
