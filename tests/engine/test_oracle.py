@@ -2,6 +2,7 @@
 
 import os
 
+import pandas as pd
 import pytest
 
 duckdb = pytest.importorskip("duckdb")
@@ -24,7 +25,7 @@ def duck():
 def plain(x):
     if isinstance(x, float):
         return "null" if x != x else f"{x:.6g}"
-    if x is None:
+    if x is None or x is pd.NA or x is pd.NaT:
         return "null"
     if hasattr(x, "tolist"):
         x = x.tolist()
