@@ -24,9 +24,9 @@ def nearest_in_time(left: DataFrame, right: DataFrame, bucket_s: int = 3600) ->
     grouped = every.withColumn("big", super_bucket)
     inside = Window.partitionBy("big").orderBy("bucket")
     near = grouped.withColumn("prev", F.last("last", True).over(inside.rowsBetween(Window.unboundedPreceding, -1))).withColumn("next", F.first("first", True).over(inside.rowsBetween(1, Window.unboundedFollowing)))
-    bigs = grouped.groupBy("big").agg(F.min("first").alias("bf"), F.max_by("last", "bucket").alias("bl"), F.max("last").alias("bl2"))
+    bigs = grouped.groupBy("big").agg(F.min("first").alias("bf"), F.max("last").alias("bl"))
     over = Window.orderBy("big")  # one row for each 1024 buckets
-    carry = bigs.select("big", F.last("bl2", True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("bp"), F.first("bf", True).over(over.rowsBetween(1, Window.unboundedFollowing)).alias("bn"))
+    carry = bigs.select("big", F.last("bl", True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("bp"), F.first("bf", True).over(over.rowsBetween(1, Window.unboundedFollowing)).alias("bn"))
     near = near.join(carry, "big").select("bucket", F.coalesce("prev", "bp").alias("prev"), F.coalesce("next", "bn").alias("next"))
     rows = l.select("bucket", F.col("ts").alias("t"), "id", F.lit(None).cast("struct<rts:timestamp_ntz,rid:bigint>").alias("r")).union(r.select("bucket", "rts", F.lit(None).cast("long"), spot))
     forth = Window.partitionBy("bucket").orderBy(F.col("t"), F.col("id").asc_nulls_first(), F.col("r.rid").desc())
