@@ -26,6 +26,8 @@ from fathom.llm.common import LOWERED, blocks, mixed, powers, reachable, span_ha
 
 LENGTH, KEY = 50, 25
 CONTEXT = LENGTH - KEY
+#: Suffixes whose contexts are made at a time, whatever the text's length.
+SLICE = 8192
 _PLACE = np.uint64(28)
 
 
@@ -84,6 +86,17 @@ def anchors(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "key long, doc_id long, pos int")
 
 
+def _packed(words: np.ndarray, start: np.ndarray, step: int, n: np.ndarray) -> pa.Array:
+    """24 bits of each of the n words from start on, in steps of 1 or -1; CONTEXT words wide, the rest 0."""
+    out = np.zeros((len(start), CONTEXT, 3), np.uint8)
+    for k in range(CONTEXT):
+        have = np.flatnonzero(n > k)
+        w = words[start[have] + step * k]
+        for byte, shift in enumerate((56, 48, 40)):
+            out[have, k, byte] = (w >> np.uint64(shift)).astype(np.uint8)
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(3 * CONTEXT), len(start), [None, pa.py_buffer(out.tobytes())]).cast(pa.binary())
+
+
 def contexts(docs: DataFrame) -> DataFrame:
     """(key, ahead, behind, n_ahead, n_behind, doc_id, pos) of the suffixes at `places` of (doc_id, text, places)."""
 
@@ -98,18 +111,13 @@ def contexts(docs: DataFrame) -> DataFrame:
                 part = b.column(2).slice(lo, hi - lo)
                 row = np.repeat(np.arange(hi - lo), part.value_lengths().to_numpy())
                 pos = part.flatten().to_numpy()
-                good = cuts[row] + pos + KEY <= cuts[row + 1]  # rows that repeat an id may be shorter
-                row, pos = row[good], pos[good]
-                at, step = cuts[row] + pos, np.arange(CONTEXT)
-                n_ahead, n_behind = np.minimum(CONTEXT, cuts[row + 1] - at - KEY), np.minimum(CONTEXT, pos)
-
-                def packed(where: np.ndarray, n: np.ndarray, words=words, step=step) -> pa.Array:
-                    w = words[np.clip(where, 0, max(0, len(words) - 1))] if len(words) else np.zeros(where.shape, np.uint64)
-                    w = np.where(step < n[:, None], w >> np.uint64(40), np.uint64(0))
-                    raw = np.stack([w >> np.uint64(16), w >> np.uint64(8), w], axis=-1).astype(np.uint8)
-                    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(3 * CONTEXT), len(n), [None, pa.py_buffer(raw.tobytes())]).cast(pa.binary())
-
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[at].view(np.int64)), packed(at[:, None] + KEY + step, n_ahead), packed(at[:, None] - 1 - step, n_behind), pa.array(n_ahead.astype(np.int32)), pa.array(n_behind.astype(np.int32)), pa.array(ids[lo + row]), pa.array(pos.astype(np.int32))], names=names)
+                good = np.flatnonzero(cuts[row] + pos + KEY <= cuts[row + 1])  # rows that repeat an id may be shorter
+                for a in range(0, len(good), SLICE):
+                    r, p = row[good[a : a + SLICE]], pos[good[a : a + SLICE]].astype(np.int64)
+                    at = cuts[r] + p
+                    n_ahead, n_behind = np.minimum(CONTEXT, cuts[r + 1] - at - KEY), np.minimum(CONTEXT, p)
+                    columns = [pa.array(hashes[at].view(np.int64)), _packed(words, at + KEY, 1, n_ahead), _packed(words, at - 1, -1, n_behind), pa.array(n_ahead.astype(np.int32)), pa.array(n_behind.astype(np.int32)), pa.array(ids[lo + r]), pa.array(p.astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return docs.mapInArrow(run, "key long, ahead binary, behind binary, n_ahead int, n_behind int, doc_id long, pos int")
 
