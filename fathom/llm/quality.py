@@ -32,6 +32,8 @@ LAGS = 12
 BUCKETS = ((1 + len(GRAMS)) << BITS) + LAGS
 WIDTH, EPOCHS, RATE, SEED = 8, 8, 0.4, 11
 CUT = 0.3
+#: Bytes of text scored at a time.
+BLOCK = 1 << 18
 
 
 def gram_features(text: np.ndarray, edge: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,7 +83,7 @@ class Model:
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         out = np.empty(len(offsets) - 1)
-        for a, b in blocks(offsets):
+        for a, b in blocks(offsets, BLOCK):
             own = offsets[a : b + 1] - offsets[a]
             total, count = np.zeros(own[-1] + 1), np.zeros(own[-1] + 1)
             for where, at in features(data, offsets[a : b + 1]):
