@@ -6,7 +6,11 @@ passages of LENGTH words keep suffixes at the same place in them. Kept suffixes
 document only cannot be shared and go. The others are sorted by what follows their key (then by what precedes
 it, read backwards) and again the other way round; each is compared with its nearest neighbours from other
 documents on both sides, and the match is extended to the left and right, CONTEXT words at most: longer
-passages keep further suffixes, whose matches adjoin. Matches of LENGTH words or more are joined to passages.
+passages keep further suffixes, whose matches adjoin. Neighbours alone can miss a window of LENGTH words whose
+two ends are shared with different documents, so the windows around each key are also counted exactly: a window
+with `a` words ahead of its key can be shared only if some other document agrees on `a` words ahead, which the
+nearest neighbour in that order tells; each such window gets a hash, and hashes of two documents or more are
+matches. Matches of LENGTH words or more are joined to passages.
 
 Words are compared by hashes (24 bits each beyond the key's 64). Texts with fewer than LENGTH words, null or
 empty texts, and null ids have no passages; rows that repeat an id are one document; repetition inside one
@@ -128,8 +132,55 @@ def _common(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.minimum(n, np.where(same.all(1), CONTEXT, same.argmin(1)))
 
 
-def matches(sorted_rows: DataFrame) -> DataFrame:
-    """(doc_id, first, last) of the matches of sorted suffixes with their neighbours; last is exclusive."""
+def _prefix_hashes(context: np.ndarray, salt: int) -> np.ndarray:
+    """Hashes of the first 0, 1, ... CONTEXT words of each context."""
+    parts = context.reshape(-1, CONTEXT, 3).astype(np.uint64)
+    words = parts[:, :, 0] << np.uint64(16) | parts[:, :, 1] << np.uint64(8) | parts[:, :, 2]
+    terms = mixed(words | np.arange(CONTEXT, dtype=np.uint64) << np.uint64(24), salt)
+    return np.concatenate([np.zeros((len(words), 1), np.uint64), np.cumsum(terms, axis=1, dtype=np.uint64)], axis=1)
+
+
+def _settled(t: dict[str, np.ndarray]) -> np.ndarray:
+    """Rows of a table sorted by (key, ahead, behind, doc_id) whose windows the neighbour comparison has all found.
+
+    These are both rows of a group of two, and rows between the first and the last of equal contexts in several
+    documents (those two stand for them). What lies beyond the table's ends is unknown and settles nothing.
+    """
+    key, doc, n = t["key"], t["doc_id"], len(t["key"])
+    begins = np.concatenate([[True], key[1:] != key[:-1]])
+    first = np.flatnonzero(begins)
+    size = np.diff(np.append(first, n))
+    pair = size == 2
+    pair[0] = pair[-1] = False
+    pair[pair] = doc[first[pair]] != doc[first[pair] + 1]
+    same = ~begins[1:]
+    for c in ("ahead", "behind"):
+        same &= (t[c][1:] == t[c][:-1]).all(1)
+    for c in ("n_ahead", "n_behind"):
+        same &= t[c][1:] == t[c][:-1]
+    kind = np.concatenate([[0], np.cumsum(~same)])
+    edge = np.flatnonzero(np.concatenate([[True], ~same]))
+    several = doc[edge] != doc[np.append(edge[1:], n) - 1]
+    return np.repeat(pair, size) | (np.concatenate([[False], same]) & np.concatenate([same, [False]]) & several[kind])
+
+
+def _windows(t: dict[str, np.ndarray], i: np.ndarray, agreed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first word, hash) of the windows around the keys of rows i that have at most `agreed` words ahead."""
+    low = CONTEXT - t["n_behind"][i].astype(np.int64)
+    n = np.maximum(0, agreed - low + 1)
+    hashes = t["key"][i].view(np.uint64)[:, None], _prefix_hashes(t["ahead"][i], 31), _prefix_hashes(t["behind"][i], 32)
+    at = np.repeat(np.arange(len(i)), n)
+    ahead = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + low[at]
+    window = mixed(hashes[0][at, 0] + mixed(hashes[1][at, ahead], 33) + mixed(hashes[2][at, CONTEXT - ahead], 34), 35)
+    return i[at], t["pos"][i[at]] - (CONTEXT - ahead), window
+
+
+def matches(sorted_rows: DataFrame, exact: bool = False) -> DataFrame:
+    """(doc_id, first, last, window) of the matches of sorted suffixes with their neighbours; last is exclusive.
+
+    If exact, for suffixes sorted by what is ahead, also the windows that may be shared, by their hashes; window is
+    null in matches.
+    """
 
     def compared(t: dict[str, np.ndarray], upto: int, start: int) -> pa.RecordBatch:
         key, doc, n = t["key"], t["doc_id"], len(t["key"])
@@ -137,17 +188,23 @@ def matches(sorted_rows: DataFrame) -> DataFrame:
         run_of = np.cumsum(np.bincount(edge, minlength=n)) - 1
         out = []
         mine = np.arange(start, upto)
+        agreed = np.full(upto - start, -1, np.int64)
         for other in (edge[run_of[mine]] - 1, np.append(edge, n)[run_of[mine] + 1]):
             ok = (other >= 0) & (other < n)
             i, j = mine[ok], other[ok]
             i, j = i[key[i] == key[j]], j[key[i] == key[j]]
             ahead = _common(t["ahead"][i], t["ahead"][j], np.minimum(t["n_ahead"][i], t["n_ahead"][j]))
             behind = _common(t["behind"][i], t["behind"][j], np.minimum(t["n_behind"][i], t["n_behind"][j]))
+            agreed[i - start] = np.maximum(agreed[i - start], ahead)
             long = behind + KEY + ahead >= LENGTH
             i, ahead, behind = i[long], ahead[long], behind[long]
-            out.append((doc[i], t["pos"][i] - behind, t["pos"][i] + KEY + ahead))
-        columns = [np.concatenate([o[c] for o in out]) for c in range(3)]
-        return pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1].astype(np.int32)), pa.array(columns[2].astype(np.int32))], names=["doc_id", "first", "last"])
+            out.append((doc[i], t["pos"][i] - behind, t["pos"][i] + KEY + ahead, np.zeros(len(i), np.uint64), np.ones(len(i), bool)))
+        if exact:
+            ask = np.flatnonzero(~_settled(t)[start:upto] & (agreed >= 0))
+            i, first, window = _windows(t, mine[ask], agreed[ask])
+            out.append((doc[i], first, first + LENGTH, window, np.zeros(len(i), bool)))
+        columns = [np.concatenate([o[c] for o in out]) for c in range(5)]
+        return pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1].astype(np.int32)), pa.array(columns[2].astype(np.int32)), pa.array(columns[3].view(np.int64), mask=columns[4])], names=["doc_id", "first", "last", "window"])
 
     def table_of(b: pa.RecordBatch) -> dict[str, np.ndarray]:
         plain = {c: b.column(c).to_numpy() for c in ("key", "n_ahead", "n_behind", "doc_id", "pos")}
@@ -170,7 +227,7 @@ def matches(sorted_rows: DataFrame) -> DataFrame:
         if held and len(held["key"]) > start:
             yield compared(held, len(held["key"]), start)
 
-    return sorted_rows.mapInArrow(run, "doc_id long, first int, last int")
+    return sorted_rows.mapInArrow(run, "doc_id long, first int, last int, window long")
 
 
 def passages(docs: DataFrame) -> DataFrame:
@@ -181,10 +238,12 @@ def passages(docs: DataFrame) -> DataFrame:
     shared = kept.groupBy("key").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1")).where("d0 <> d1").select("key")
     places = kept.join(shared, "key").groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("places"))  # one document's at a time
     suffixes = stored(contexts(rows.join(places, "doc_id").select("doc_id", "text", "places")))
-    found = None
-    for order in (("ahead", "behind"), ("behind", "ahead")):
-        half = matches(suffixes.repartition("key").sortWithinPartitions("key", *order, "doc_id", "pos"))
-        found = half if found is None else found.union(half)
+    one, two = (suffixes.repartition("key").sortWithinPartitions("key", *order, "doc_id", "pos") for order in (("ahead", "behind"), ("behind", "ahead")))
+    asked = stored(matches(one, exact=True))
+    windows = asked.where("window IS NOT NULL")
+    common = windows.groupBy("window").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1")).where("d0 <> d1").select("window")
+    span = ["doc_id", "first", "last"]
+    found = asked.where("window IS NULL").select(span).union(matches(two).select(span)).union(windows.join(common, "window", "left_semi").select(span))
     by = Window.partitionBy("doc_id").orderBy("first", F.desc("last"))
     before = F.max("last").over(by.rowsBetween(Window.unboundedPreceding, -1))
     islands = found.distinct().withColumn("new", (F.coalesce(before, F.lit(-1)) < F.col("first")).cast("int")).withColumn("island", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))

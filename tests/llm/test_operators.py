@@ -298,6 +298,21 @@ def test_passages(docs):
     assert substring_dedup.passages(docs([])).count() == 0
 
 
+def test_passages_among_other_sharers(docs):
+    """Documents that share a key with more words ahead or more behind do not hide the ones that share a passage."""
+    rng = random.Random(4)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    stock = [word() for _ in range(120)]
+    rows = []
+    for i in range(150):
+        a = rng.randrange(0, 80)
+        rows.append((i, " ".join([word() for _ in range(40)] + stock[a : a + rng.randrange(26, 75)] + [word() for _ in range(40)])))
+    got = defaultdict(set)
+    for r in substring_dedup.passages(docs(rows)).collect():
+        got[r["doc_id"]] |= set(range(r["start_word"], r["end_word"]))
+    assert dict(got) == brute_passages(rows)
+
+
 def test_registered():
     names = list(queries.queries())
     assert [n.split("_")[0] for n in names] == [f"op{i}" for i in (1, 2, 3, 4, 5, 6, 7, 8, 9, 10)] or len({n.split("_")[0] for n in names}) == 10
