@@ -7,8 +7,9 @@ partitions and ordered inside them (a uniform global shuffle without a sampling
 
 Rates come from one count per source. Only the sources named in `weights` join it, so the broadcast has at
 most len(weights) rows, whatever the data. Rows of other or null sources have the rate `other`. A null
-doc_id draws as the id "null"; repeated rows draw alike; null and empty texts are rows like others; rates
-are at most MAX_RATE; an empty table gives none. Columns whose names start with mix_ are replaced.
+doc_id draws as the id "null"; repeated rows draw alike; null and empty texts are rows like others; an
+empty table gives none. Rates have no upper limit: one beyond PART_RATE is split into equal parts, whose counts
+are drawn by numbers of their own and added (a sum of Poisson counts is one). Columns whose names start with mix_ are replaced.
 """
 
 from __future__ import annotations
@@ -19,7 +20,12 @@ from pyspark.sql import functions as F
 from fathom.llm.common import table
 
 SEED = 17
+#: Of the SQL twin alone: it agrees with the operator up to this rate.
 MAX_RATE = 64.0
+#: Rates up to this are drawn at once; exp(-rate) is far from underflow.
+PART_RATE = 128.0
+#: Copies that one row lists at a time.
+RUN = 4096
 #: The query's targets: twenty sources with equal shares.
 WEIGHTS = {f"src{i}": 0.05 for i in range(20)}
 
@@ -43,31 +49,39 @@ def uniform(*parts: Column) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
 
 
+def parts(rate: Column) -> Column:
+    """Into how many equal parts a rate is split."""
+    return F.greatest(F.lit(1), F.ceil(rate / PART_RATE)).cast("int")
+
+
 def rates(docs: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """mix_source, rate, cdf of the weighted sources that occur: at most len(weights) rows."""
+    """mix_source, rate, cdf of one part of the rate, of the weighted sources that occur: at most len(weights) rows."""
     share = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])
     total = docs.agg(F.count(F.lit(1)).alias("n_all"))
     each = docs.groupBy(F.col("source").alias("mix_source")).agg(F.count(F.lit(1)).alias("n")).where(F.col("mix_source").isin(list(weights)))
-    rate = F.least(F.lit(MAX_RATE), share[F.col("mix_source")] * F.col("n_all") / F.col("n"))
-    return each.crossJoin(F.broadcast(total)).select("mix_source", rate.alias("mix_rate")).withColumn("mix_cdf", poisson_cdf(F.col("mix_rate")))  # total is one row
+    rate = share[F.col("mix_source")] * F.col("n_all") / F.col("n")
+    return each.crossJoin(F.broadcast(total)).select("mix_source", rate.alias("mix_rate")).withColumn("mix_cdf", poisson_cdf(F.col("mix_rate") / parts(F.col("mix_rate"))))  # total is one row
 
 
 def mixed_sources(docs: DataFrame, weights: dict[str, float], seed: int = SEED, other: float = 1.0) -> DataFrame:
     """`docs` repeated and shuffled, with mix_rate, mix_copy (from 1) and mix_key (the shuffle's order) beside their columns."""
-    if not weights or min(weights.values()) < 0 or not 0 <= other <= MAX_RATE:
+    if not weights or min(weights.values()) < 0 or not 0 <= other < float("inf"):
         raise ValueError("weights must be given and none negative")
     kept = docs.select([c for c in docs.columns if not c.startswith("mix_")])
     joined = kept.join(F.broadcast(rates(docs, weights)), F.col("source") == F.col("mix_source"), "left")  # len(weights) rows at most
     rate = F.coalesce(F.col("mix_rate"), F.lit(float(other)))
-    cdf = F.coalesce(F.col("mix_cdf"), poisson_cdf(F.lit(float(other))))
+    cdf = F.coalesce(F.col("mix_cdf"), poisson_cdf(F.lit(float(other)) / parts(F.lit(float(other)))))
     u = uniform(F.lit(seed), F.col("doc_id"))
-    copies = F.size(F.filter(cdf, lambda c: c <= F.col("mix_u")))
+    drawn = lambda u: F.size(F.filter(cdf, lambda c: c <= u))
+    more = F.aggregate(F.sequence(F.lit(1), parts(rate) - 1), F.lit(0), lambda n, j: n + drawn(uniform(F.lit(seed), F.col("doc_id"), j)))
+    copies = drawn(F.col("mix_u")) + F.when(parts(rate) > 1, more).otherwise(0)
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("mix_copy").cast("string")).cast("binary"))
     return (
         joined.withColumn("mix_u", u)
         .withColumn("mix_n", copies)
         .where("mix_n > 0")
-        .withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_n"))))
+        .withColumn("mix_run", F.explode(F.sequence(F.lit(1), F.col("mix_n"), F.lit(RUN))))
+        .withColumn("mix_copy", F.explode(F.sequence(F.col("mix_run"), F.least(F.col("mix_n"), F.col("mix_run") + (RUN - 1)))))
         .select(*kept.columns, rate.alias("mix_rate"), "mix_copy", key.alias("mix_key"))
         .repartition(F.col("mix_key"))
         .sortWithinPartitions("mix_key")

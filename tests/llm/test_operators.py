@@ -76,6 +76,19 @@ def test_mixing(docs):
         mixing.mixed_sources(docs([]), {})
 
 
+def test_mixing_of_rare_sources(docs):
+    """Sources far below their share reach it: rates of 100, in one part, and 1500, in parts."""
+    rows = [(i, "t", "en", "common") for i in range(2990)] + [(3000 + i, "t", "en", "few") for i in range(9)] + [(4000, "t", "en", "one")]
+    got = mixing.mixed_sources(docs(rows), {"few": 0.3, "one": 0.5}).collect()
+    n, rate = Counter(r["source"] for r in got), {r["source"]: r["mix_rate"] for r in got}
+    assert rate["few"] == pytest.approx(100) and rate["one"] == pytest.approx(1500)
+    for source, mean in (("few", 900), ("one", 1500)):
+        assert abs(n[source] - mean) < 5 * mean**0.5
+    assert sorted(r["mix_copy"] for r in got if r["source"] == "one") == list(range(1, n["one"] + 1))
+    many = mixing.mixed_sources(docs([(1, "t", "en", "x")]), {"y": 1.0}, other=5000.0).collect()
+    assert sorted(r["mix_copy"] for r in many) == list(range(1, len(many) + 1)) and abs(len(many) - 5000) < 5 * 5000**0.5
+
+
 def old_lzw(codes, bits):
     """Code numbers packed as a plain encoder would (widths grow with the table)."""
     out, at, n, size = 0, 0, 0, bits + 1
