@@ -37,20 +37,73 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, comp): the smallest node reachable, by hooking and contracting until no edge is left."""
-    rest = stored(undirected(edges).where("a <> b"))
-    ends = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    labels = ends.withColumn("comp", F.col("node"))
-    while rest.limit(1).count():
+#: A key is looked up by broadcast if it has more than HUB_ROWS rows and more than one in HUBS of all rows: fewer than HUBS keys.
+HUB_ROWS, HUBS = 256, 10_000
+
+
+def looked_up(rows: DataFrame, key: str, other: str, pairs: DataFrame, n: int, name: str, counts: DataFrame | None = None) -> DataFrame:
+    """`rows` (n of them) with `name`: the `to` of their key in pairs (node, to), each node once, or null.
+
+    Rows of frequent keys get theirs by broadcast, and are dealt by `other` (a column of the key's type) meanwhile, so
+    that no key gathers its rows in one task. counts (node, count) are the keys' numbers of rows, if they are known.
+    """
+    if n <= HUB_ROWS:
+        return rows.join(pairs.select(F.col("node").alias(key), F.col("to").alias(name)), key, "left")
+    counts = rows.groupBy(F.col(key).alias("node")).count() if counts is None else counts
+    often = counts.where(F.col("count") > max(HUB_ROWS, n // HUBS)).select(F.col("node").alias("hub__"))  # fewer than HUBS
+    images = pairs.join(F.broadcast(often), F.col("node") == F.col("hub__")).select(F.col("node").alias("at__"), F.col("to").alias("hub_to__"))
+    hubs = often.join(F.broadcast(images), F.col("hub__") == F.col("at__"), "left").select("hub__", "hub_to__")
+    marked = rows.join(F.broadcast(hubs), F.col(key) == F.col("hub__"), "left").withColumn("is_hub__", F.col("hub__").isNotNull())
+    dealt = marked.withColumn("deal__", F.when(F.col("is_hub__"), F.col(other)).otherwise(F.col(key)))
+    light = pairs.select(F.col("node").alias("deal__"), F.lit(False).alias("is_hub__"), F.col("to").alias("to__"))
+    found = dealt.join(light, ["deal__", "is_hub__"], "left")
+    return found.select(*rows.columns, F.when(F.col("is_hub__"), F.col("hub_to__")).otherwise(F.col("to__")).alias(name))
+
+
+def _moved(rows: DataFrame, key: str, other: str, pairs: DataFrame, n: int) -> DataFrame:
+    found = looked_up(rows, key, other, pairs, n, "image__")
+    return found.select(*[F.coalesce("image__", key).alias(c) if c == key else F.col(c) for c in rows.columns])
+
+
+def rooted(edges: DataFrame) -> DataFrame:
+    """(node, comp) of every node of the edges (a, b); comp is the smallest node reachable, in the order of the node's type.
+
+    Each round hooks every node to its smallest neighbour if that is smaller, halves the hooks' paths by pointer
+    jumping until all point at their roots, and contracts the edges to roots; it ends when no edge is left. A path in
+    order of its names takes one round of log2(length) jumps; among names in random order (see components) every round
+    leaves a constant share of the nodes. Nothing is collected, and no node gathers its edges in one task.
+    """
+    ends = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = stored(ends.distinct())
+    nodes = rest.select(F.col("a").alias("node")).union(rest.select("b")).distinct()
+    labels, n_labels = stored(nodes.withColumn("comp", F.col("node"))), None
+    while n := rest.count():
+        n_labels = n_labels or labels.count()
         hooks = stored(rest.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("to")))
-        at = lambda c: hooks.select(F.col("node").alias(c), F.col("to").alias(f"to_{c}"))  # noqa: B023, E731
-        moved = rest.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("to_a", "a").alias("src"), F.coalesce("to_b", "b").alias("dst"))
-        rest = stored(undirected(moved).where("a <> b"))
-        labels = stored(labels.join(at("comp"), "comp", "left").select("node", F.coalesce("to_comp", "comp").alias("comp")))
+        n_hooks, open_ = hooks.count(), True
+        while open_:
+            jumped = stored(looked_up(hooks, "to", "node", hooks, n_hooks, "top"))
+            open_ = jumped.where("top IS NOT NULL").limit(1).count() > 0
+            hooks = jumped.select("node", F.coalesce("top", "to").alias("to")) if open_ else hooks
+        moved = _moved(_moved(rest, "a", "b", hooks, n), "b", "a", hooks, n).where("a <> b")
+        rest = stored(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        labels = stored(_moved(labels, "comp", "node", hooks, n_labels))
     return labels
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """(node, comp): the smallest node reachable, of every end of the edges (src, dst).
+
+    Nodes work under their hash (with the name behind it, so that equal hashes stay apart): no order of names is slow.
+    """
+    name = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("n"))
+    ends = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    labels = rooted(edges.select(name("src").alias("a"), name("dst").alias("b")))
+    smallest = labels.groupBy(F.col("comp").alias("node")).agg(F.min("node.n").alias("to"))
+    found = looked_up(labels, "comp", "node", smallest, labels.count(), "least").select(F.col("node.n").alias("node"), F.col("least").alias("comp"))
+    return ends.join(found, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
+
+
 def inner_edges(edges: DataFrame, communities: DataFrame) -> DataFrame:
     """Edges with both ends in one community (node, community)."""
     a = communities.select(F.col("node").alias("src"), "community")
