@@ -2,50 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
 
+from fathom.sources.index_store import forget, scope, shared_dir, stored
 from fathom.sources.tables import reachable, table
 
-__all__ = ["blocks", "forget", "mixed", "powers", "reachable", "shared_dir", "span_hashes", "stored", "table", "utf8", "word_spans"]
+__all__ = ["blocks", "forget", "mixed", "powers", "reachable", "scope", "shared_dir", "span_hashes", "stored", "table", "utf8", "word_spans"]
 #: Bytes of text that one numpy pass handles at a time.
 BLOCK_BYTES = 1 << 20
-_written: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or (only where it is unset, as in tests) one of our own."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="fathom-")
-        atexit.register(shutil.rmtree, path, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def stored(df: DataFrame, parts: int | None = None) -> DataFrame:
-    """`df` written to the shared folder and read again: the lineage ends here, and losing an executor costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/fathom-{uuid.uuid4().hex}"
-    (df.coalesce(parts) if parts else df).write.parquet(path)
-    _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def forget(spark: SparkSession) -> int:
-    """Deletes the intermediate tables below spark.checkpoint.dir that this process wrote; call it when results are written."""
-    hadoop, n = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, 0
-    while _written:
-        path = hadoop(_written.pop())
-        n += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    return n
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -1,28 +1,15 @@
-"""Connected components of an edge table, by joins alone."""
+"""Connected components of links between nodes whose ids are hashes already."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from fathom.llm.common import stored
+from fathom.operators.graph import rooted
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) of every node of the edges (a, b); comp is the smallest node reachable.
 
-    Each round hooks every node to its smallest neighbour if that is smaller, follows hooks once more, and
-    contracts the edges, which shrink at least by the hooked nodes; it ends when none is left. Nothing is collected.
+    Loops and repeated edges count once; nodes without an edge to another are left out; no edges give no rows.
     """
-    ends = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = stored(ends.distinct())
-    labels = rest.select(F.col("a").alias("node")).union(rest.select("b")).distinct().withColumn("comp", F.col("node"))
-    while rest.limit(1).count():
-        up = rest.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("to"))
-        further = up.select(F.col("node").alias("to"), F.col("to").alias("top"))
-        hooks = stored(up.join(further, "to", "left").select("node", F.coalesce("top", "to").alias("to")))
-        at = lambda c: hooks.select(F.col("node").alias(c), F.col("to").alias(f"to_{c}"))  # noqa: B023, E731
-        moved = rest.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("to_a", "a").alias("x"), F.coalesce("to_b", "b").alias("y"))
-        rest = stored(moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-        labels = stored(labels.join(at("comp"), "comp", "left").select("node", F.coalesce("to_comp", "comp").alias("comp")))
-    return labels
+    return rooted(edges)
