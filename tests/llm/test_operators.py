@@ -182,6 +182,52 @@ def test_automaton_phrases():
         assert langid.phrases(moves, s) == plain(s)
 
 
+def test_cross_parse_of_whole_texts(monkeypatch):
+    """Phrases across words, of all languages at once, in lockstep and alone, are those of a plain parse."""
+    rng = random.Random(6)
+    samples = ["".join(rng.choices("ab c", k=400)), "".join(rng.choices("bcd ", k=300)), "zé "]
+    made = [langid.Automaton(t) for t in samples]
+    parser = langid.Parser([(a.keys, a.to) for a in made])
+
+    def plain(s, text):
+        n = 0
+        while s:
+            k = next((k for k in range(len(s), 0, -1) if s[:k] in text), 1)
+            n, s = n + 1, s[k:]
+        return n
+
+    texts = ["".join(rng.choices("abcd zéx", k=rng.randint(1, 60))) for _ in range(60)] + ["ab c" * 100, "q", " "]
+    want = [[plain(s, t) for t in samples] for s in texts]
+    for few in (0, 24, 1000):
+        monkeypatch.setattr(langid, "ALONE", few)
+        assert parser.counts(texts).tolist() == want
+
+
+def test_language_result_against_brute_force(spark, docs):
+    """The whole result: whole rows learned, counts, costs, ties and scores."""
+    rng = random.Random(12)
+    words = {"aa": "the and of with that this from".split(), "bb": "der und die nicht auch eine das".split(), "cc": "le la et les des une dans".split()}
+    rows = [(i, " ".join(rng.choices(words[lang], k=rng.randint(1, 30))) + rng.choice(["", " 12!", " Ωx"]), lang) for i in range(90) for lang in [["aa", "bb", "cc"][i % 3]]]
+    rows += [(300, "THE and\tder", None), (301, "xyz", "aa"), (302, "the " * 3000, "bb"), (None, "une", "cc"), (5, rows[5][1], rows[5][2])]
+    held = langid.remainder(F.col("doc_id"), 3) == 1
+    d = docs(rows)
+    learned = langid.learn(d, held)
+    part = lambda i: zlib.crc32(str(i).encode()) % 3 if i is not None else 0
+    for lang, n, _, _ in learned:
+        mine = {t for i, t, x in rows if x == lang and part(i) != 1}
+        assert n == sum(len(langid.letters_of(t)) for t in mine)
+    whole = {lang: a for lang, _, *a in learned}
+    moves = {lang: dict(zip(k.tolist(), t.tolist(), strict=True)) for lang, (k, t) in whole.items()}
+    cost = {lang: math.log2(n) for lang, n, _, _ in learned}
+    got = langid.predict(d, learned, held).collect()
+    assert len(got) == len(rows)
+    text_of = {i: t for i, t, _ in rows}
+    for r in got:
+        n = {lang: langid.phrases(m, langid.letters_of(text_of[r["doc_id"]])) * cost[lang] for lang, m in moves.items()}
+        best = min(n, key=lambda x: (n[x], x))
+        assert r["lang_pred"] == best and r["score"] == pytest.approx(1 / sum((n[best] / v) ** 12 for v in n.values()))
+
+
 def test_language(spark, docs):
     rng = random.Random(1)
     words = {"aa": "the and of with that this from".split(), "bb": "der und die nicht auch eine das".split()}
