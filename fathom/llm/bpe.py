@@ -4,15 +4,19 @@ A text is cut at the vocabulary's added tokens, then into words by the published
 is merged in one short list of part boundaries with, beside each, the rank of joining that part with the next:
 the smallest rank is found by a scan, its right boundary deleted, and the two ranks beside it looked up anew.
 Words are short, so the scan beats a heap, and the results of recent words are kept per worker (at most
-MEMO words, then the memo starts again).
+MEMO words, then the memo starts again). A word of more than SCAN_BYTES (text without spaces) keeps its boundaries
+and ranks in linked lists and finds the smallest rank by a heap: the same merges in the same order.
 
 Null texts are empty; empty texts have no ids; whole texts of any length are encoded; texts whose bytes are no
-UTF-8 after decoding cannot arise from encoding, but decode() replaces them. Other columns are ignored.
+UTF-8 after decoding cannot arise from encoding, but decode() replaces them. Repeated rows give repeated rows; an empty
+table gives none. Other columns are ignored. A vocabulary file that asks for anything else than plain byte-level
+merging (a normaliser, a leading space, other word patterns, affixes) is an error.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 from collections.abc import Iterator
 from functools import cache
@@ -27,6 +31,8 @@ from fathom.llm.common import reachable, table
 MEMO = 400_000
 #: Longest word whose result is kept.
 MEMO_CHARS = 48
+#: Longest word that is merged by scans.
+SCAN_BYTES = 256
 NONE = 1 << 60
 #: The published pattern that cuts text into words before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -45,12 +51,25 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def checked(spec: dict) -> dict:
+    """The file's content, if this codec does all that it asks for."""
+    model, words = spec["model"], spec.get("pre_tokenizer") or {}
+    strange = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
+    strange += ["normalizer"] if spec.get("normalizer") else []
+    strange += ["pre_tokenizer"] if (words.get("type"), words.get("add_prefix_space"), words.get("use_regex", True)) != ("ByteLevel", False, True) else []
+    strange += ["decoder"] if (spec.get("decoder") or {}).get("type") != "ByteLevel" else []
+    strange += [f"added token {x['content']}" for x in spec["added_tokens"] if any(x.get(k) for k in ("single_word", "lstrip", "rstrip", "normalized"))]
+    if model.get("type", "BPE") != "BPE" or strange:
+        raise ValueError(f"no plain byte-level vocabulary: {', '.join(strange) or model['type']}")
+    return spec
+
+
 class Codec:
     """Encoder and decoder of one vocabulary file."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+            spec = checked(json.load(f))
         back = {c: b for b, c in byte_letters().items()}
         raw = lambda token: bytes(back[c] for c in token)
         self.ids = {raw(t): i for t, i in spec["model"]["vocab"].items()}
@@ -69,6 +88,8 @@ class Codec:
         whole = self.ids.get(word)
         if len(word) == 1:
             return (whole,)
+        if len(word) > SCAN_BYTES:
+            return self.merge_long(word)
         get, starts = self.ranks.get, list(range(len(word) + 1))
         ranks = [get((word[i : i + 1], word[i + 1 : i + 2]), NONE) for i in range(len(word) - 1)]
         while ranks:
@@ -84,6 +105,38 @@ class Codec:
         ids = self.ids
         return tuple([ids[word[a:b]] for a, b in zip(starts, starts[1:], strict=False)])
 
+    def merge_long(self, word: bytes) -> tuple[int, ...]:
+        """As merge(), in n log n steps: parts are named by their first byte, and a heap holds (rank, part, ends) of its joins.
+
+        An entry is stale if its part is gone or either part has grown since.
+        """
+        get, n = self.ranks.get, len(word)
+        after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), bytearray(b"\1") * n
+        heap = [(r, i, i + 2) for i in range(n - 1) if (r := get((word[i : i + 1], word[i + 1 : i + 2]))) is not None]
+        heapq.heapify(heap)
+
+        def offer(i: int) -> None:
+            j = after[i]
+            if j < n and (r := get((word[i:j], word[j : after[j]]))) is not None:
+                heapq.heappush(heap, (r, i, after[j]))
+
+        while heap:
+            rank, i, end = heapq.heappop(heap)
+            j = after[i]
+            if not alive[i] or j >= n or after[j] != end or get((word[i:j], word[j:end])) != rank:
+                continue
+            alive[j], after[i] = 0, end
+            if end < n:
+                before[end] = i
+            if before[i] >= 0:
+                offer(before[i])
+            offer(i)
+        out, i = [], 0
+        while i < n:
+            out.append(self.ids[word[i : after[i]]])
+            i = after[i]
+        return tuple(out)
+
     def learn(self, word: str) -> tuple[int, ...]:
         out = self.merge(word.encode())
         if len(word) <= MEMO_CHARS:

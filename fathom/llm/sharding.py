@@ -4,15 +4,16 @@ A key walks through ever larger shard counts and jumps to the last shard that it
 table is kept, and growing from n to n+1 shards moves only the rows that land in the new shard.
 
 Slots number the rows of a shard from 0 without gaps. No shard is gathered in one task: rows are ordered
-inside (shard, cell) groups, and the cells' counts (shards * CELLS rows, a fixed bound) give each group its
-first slot.
+inside (shard, cell) groups, cells being dealt by a hash of the key and the text's checksum (CELLS a shard, and
+more, in powers of two, so that a cell holds some CELL_ROWS of many rows), and the cells' counts give each group its first slot.
 
-Null keys share one fixed key; null texts have 8 bytes of size and crc 0; repeated rows get separate slots
-of the same shard; an empty table gives no rows; other columns are ignored.
+Null keys share one fixed key, so one shard, over its cells; null texts have 8 bytes of size and crc 0; repeated rows get
+separate slots of the same shard; empty texts are texts of no bytes; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fathom.llm.common import mixed, reachable, table
+from fathom.llm.common import mixed, reachable, stored, table
 
 SHARDS = 24
-CELLS = 1024
+CELLS, CELL_ROWS = 1024, 65_536
 _STEP = np.uint64(2862933555777941757)
 
 
@@ -42,8 +43,10 @@ def jump_hash(keys: np.ndarray, shards: int) -> np.ndarray:
 
 
 def with_shards(docs: DataFrame, shards: int, key: str = "doc_id") -> DataFrame:
-    """`docs` with shard, grown_shard (of one shard more) and cell, all functions of the key and the shard count alone."""
+    """`docs` with shard and grown_shard (of one shard more), functions of the key and the shard count alone, and place, a
+    64-bit hash of the key. Columns of these names are replaced."""
     reachable(docs.sparkSession)
+    docs = docs.drop(*({"shard", "grown_shard", "place"} - {key}))
     at = docs.columns.index(key)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,11 +54,25 @@ def with_shards(docs: DataFrame, shards: int, key: str = "doc_id") -> DataFrame:
             ids = b.column(at)
             raw = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             keys = np.where(ids.is_null().to_numpy(zero_copy_only=False), np.uint64(0x5EED), mixed(raw, 1))
-            more = [jump_hash(keys, shards), jump_hash(keys, shards + 1), (mixed(keys, 2) % np.uint64(CELLS)).astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([*b.columns, *map(pa.array, more)], names=[*b.schema.names, "shard", "grown_shard", "cell"])
+            more = [jump_hash(keys, shards), jump_hash(keys, shards + 1), keys.view(np.int64)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *map(pa.array, more)], names=[*b.schema.names, "shard", "grown_shard", "place"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(add, f"{kinds}, shard int, grown_shard int, cell int")
+    return docs.mapInArrow(add, f"{kinds}, shard int, grown_shard int, place long")
+
+
+def with_cells(placed: DataFrame, cells: int) -> DataFrame:
+    """`placed` with cell: the hash of place and text_crc32, modulo `cells`, instead of place."""
+    at = [placed.columns.index(c) for c in ("place", "text_crc32")]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            place, crc = (b.column(i).to_numpy().view(np.uint64) for i in at)
+            cell = (mixed(place ^ crc, 2) % np.uint64(cells)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(cell) if i == at[0] else c for i, c in enumerate(b.columns)], names=b.schema.names)
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in placed.schema)
+    return placed.mapInArrow(add, kinds).withColumnRenamed("place", "cell")
 
 
 def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
@@ -64,16 +81,14 @@ def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         raise ValueError("shards must be 1 or more")
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    placed = with_shards(rows, shards)
-    counts = with_shards(docs.select(F.col("doc_id").cast("long").alias("doc_id")), shards).groupBy("shard", "cell").count()
-    before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = CELLS * 2 ** max(0, math.ceil(math.log2(max(1, docs.count()) / (CELLS * CELL_ROWS * shards))))
+    placed = stored(with_cells(with_shards(rows, shards), cells))
+    counts = placed.groupBy("shard", "cell").count()
+    before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)  # `cells` rows
     first = counts.select("shard", "cell", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
     inside = Window.partitionBy("shard", "cell").orderBy("doc_id", "text_crc32", "size")
-    return (
-        placed.withColumn("n", F.row_number().over(inside))
-        .join(F.broadcast(first), ["shard", "cell"])  # shards * CELLS rows at most
-        .select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("first") + F.col("n") - 1).cast("long").alias("slot"), "grown_shard")
-    )
+    numbered = placed.withColumn("n", F.row_number().over(inside)).join(first, ["shard", "cell"])
+    return numbered.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("first") + F.col("n") - 1).cast("long").alias("slot"), "grown_shard")
 
 
 def op9_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +123,7 @@ WITH RECURSIVE tab AS MATERIALIZED (SELECT list(v ORDER BY i) AS t FROM (SELECT
  crc AS MATERIALIZED (SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, y: xor(c // 256, tab.t[xor(c % 256, y) + 1])), 4294967295)::BIGINT AS text_crc32 FROM bytes_of, tab),
  {_mixed_sql("crc", "coalesce(doc_id, 0)", 1, "mk").lstrip()},
  kk AS MATERIALIZED (SELECT * EXCLUDE (m), CASE WHEN doc_id IS NULL THEN {0x5EED}::UHUGEINT ELSE m END AS k FROM mk),
- {_mixed_sql("kk", "k", 2, "mc").lstrip()},
+ {_mixed_sql("kk", "xor(k, text_crc32::UHUGEINT)", 2, "mc").lstrip()},
  keys AS MATERIALIZED (SELECT DISTINCT k FROM kk),
 {_jump_sql("ja", SHARDS)},
 {_jump_sql("jb", SHARDS + 1)},

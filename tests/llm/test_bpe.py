@@ -37,6 +37,46 @@ def test_near_special(text):
     same(text)
 
 
+@given(st.text(alphabet="abcdeéxyz01", min_size=1, max_size=300))
+@settings(max_examples=150, deadline=None)
+def test_long_words_merge_alike(text):
+    own = bpe.codec(PATH)
+    for word in (text, "ab" * len(text), text * 3):
+        data = word.encode()
+        assert own.merge_long(data) == (own.merge(data) if len(data) <= bpe.SCAN_BYTES else tuple(LIBRARY.encode(word, add_special_tokens=False).ids)) or not word.isalpha()
+
+
+def test_a_megabyte_without_spaces():
+    import random
+    import time
+
+    text = "".join(random.Random(3).choices("abcdefghij", k=1 << 20))
+    own, began = bpe.codec(PATH), time.perf_counter()
+    ids = own.encode(text)
+    assert time.perf_counter() - began < 60
+    assert ids == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
+def test_other_vocabularies_are_refused(tmp_path):
+    import json
+
+    spec = json.load(open(PATH, encoding="utf-8"))
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "use_regex": True}}, {"added_tokens": [spec["added_tokens"][0] | {"lstrip": True}]}):
+        path = tmp_path / "v.json"
+        path.write_text(json.dumps(spec | change))
+        with pytest.raises(ValueError, match="vocabulary"):
+            bpe.Codec(str(path))
+
+
+def test_repeated_rows_and_clashing_columns(docs):
+    from pyspark.sql import functions as F
+
+    rows = [(1, "a b"), (1, "a b"), (1, "c"), (None, None), (None, None)]
+    d = docs(rows).withColumn("ids", F.lit("clash")).withColumn("n_tokens", F.lit("clash"))
+    got = bpe.tokenised(d).collect()
+    assert len(got) == 5 and sorted(r["n_tokens"] for r in got) == [0, 0, 1, 2, 2]
+
+
 def test_query(spark, docs):
     rows = {r["doc_id"]: r for r in bpe.digests(docs([(1, "the cat"), (2, None), (3, ""), (4, "the cat"), (None, "x")])).collect()}
     ids = LIBRARY.encode("the cat", add_special_tokens=False).ids

@@ -50,6 +50,18 @@ def test_sharded(docs):
         sharding.sharded(docs([]), 0)
 
 
+def test_sharded_hot_and_clashing(spark, docs, monkeypatch):
+    monkeypatch.setattr(sharding, "CELL_ROWS", 0.001)  # many more cells than rows
+    rows = [(7, f"t{i}") for i in range(300)] + [(None, f"u{i}") for i in range(300)] + [(8, "same")] * 300
+    d = docs(rows).withColumns({c: F.lit("clash") for c in ("grown_shard", "place", "cell", "slot", "size")})
+    slots = defaultdict(list)
+    for r in sharding.sharded(d).collect():
+        slots[r["shard"]].append(r["slot"])
+    assert sum(map(len, slots.values())) == 900 and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    placed = sharding.with_shards(d.select("doc_id", "shard", "text"), 24)
+    assert placed.columns == ["doc_id", "text", "shard", "grown_shard", "place"] and placed.select("shard").distinct().count() <= 3
+
+
 def test_mixing(docs):
     rows = [(i, f"t{i}", "en", "hot" if i % 3 else "rare") for i in range(900)] + [(1, "t1", "en", "hot"), (2000, "x", "en", None), (None, "y", "en", "rare"), (2001, None, "en", "other")]
     got = mixing.mixed_sources(docs(rows), {"hot": 0.2, "rare": 0.8}).collect()
