@@ -6,7 +6,9 @@ interlacing, graphic controls (delay, disposal, transparency) and LZW code strea
 frames onto the canvas in turn and yields what is shown.
 
 Null texts are empty; an empty text is one unit of padding; long texts have more frames; equal texts give
-equal files; a broken file raises ValueError; other columns are ignored.
+equal files; repeated rows give repeated rows; an empty table gives none; other columns are ignored. decode() raises
+ValueError for a broken file, and for one whose canvas or frames have more than MOST_PIXELS (a header of 13 bytes may ask for
+17 GB); timed_frames() gives such a file one row with its error and goes on. A null file has no rows.
 """
 
 from __future__ import annotations
@@ -19,13 +21,17 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fathom.llm.common import reachable, table
 
 UNIT = 576
 WIDTH, HEIGHT = 96, 96
 DELAY_CS = 10
-BINS = 16
+#: Levels of each colour in a histogram.
+LEVELS = 4
+BINS = LEVELS**3
+MOST_PIXELS = 1 << 26
 CLEAR, END = 256, 257
 _BYTES = [bytes([i]) for i in range(256)]
 RAMP = np.repeat(np.arange(256, dtype=np.uint8), 3).reshape(256, 3)
@@ -165,9 +171,13 @@ def decode(data: bytes) -> Gif:
         raise ValueError("no GIF header")
     number = lambda i: data[i] | data[i + 1] << 8
     out, at, shared = Gif(number(6), number(8), []), 13, None
+    if out.width * out.height > MOST_PIXELS:
+        raise ValueError(f"a canvas of {out.width} x {out.height}")
 
     def palette(flags: int, i: int) -> tuple[np.ndarray, int]:
         n = 2 << (flags & 7)
+        if i + 3 * n > len(data):
+            raise ValueError("the file ends early")
         colours = np.zeros((256, 3), np.uint8)
         colours[:n] = np.frombuffer(data, np.uint8, 3 * n, i).reshape(n, 3)
         return colours, i + 3 * n
@@ -193,6 +203,8 @@ def decode(data: bytes) -> Gif:
                 left, top, width, height, flags = number(at + 1), number(at + 3), number(at + 5), number(at + 7), data[at + 9]
                 colours, at = palette(flags, at + 10) if flags & 0x80 else (shared, at + 10)
                 bits = data[at]
+                if not 1 <= bits <= 8 or width * height > MOST_PIXELS:
+                    raise ValueError(f"a frame of {width} x {height} with codes of {bits} bits")
                 stream, at = parts(at + 1)
                 pixels = np.frombuffer(lzw_decode(stream, bits, width * height), np.uint8).reshape(height, width)
                 if flags & 0x40:
@@ -230,10 +242,10 @@ def composed(gif: Gif) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def histogram(canvas: np.ndarray, drawn: np.ndarray) -> np.ndarray:
-    """Drawn pixels by luminance, in BINS equal bins."""
-    pixels = canvas[drawn].astype(np.uint32)
-    light = (pixels @ np.array([299, 587, 114], np.uint32)) // 1000
-    return np.bincount(light * BINS // 256, minlength=BINS)
+    """Drawn pixels by colour: LEVELS equal ranges of red, by those of green, by those of blue."""
+    pixels = canvas.reshape(-1, 3) if drawn.all() else canvas[drawn]
+    level = pixels // (256 // LEVELS)
+    return np.bincount(level[:, 0] * np.uint8(LEVELS * LEVELS) + level[:, 1] * np.uint8(LEVELS) + level[:, 2], minlength=BINS)
 
 
 def padded(text: str | None) -> tuple[bytes, int]:
@@ -266,21 +278,26 @@ def _arrow(docs: DataFrame, schema: str, kinds: list[pa.DataType], rows) -> Data
 
 def media(docs: DataFrame) -> DataFrame:
     """doc_id and the GIF of each text."""
-    return _arrow(docs.select("doc_id", "text"), "doc_id long, media binary", [pa.int64(), pa.binary()], lambda i, t: [(i, encode(padded(t)[0]))])
+    return _arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id long, media binary", [pa.int64(), pa.binary()], lambda i, t: [(i, encode(padded(t)[0]))])
 
 
 def timed_frames(files: DataFrame) -> DataFrame:
-    """One row per frame of (doc_id, media): when it shows, for how long, its size and its colour histogram."""
+    """One row per frame of (doc_id, media): when it shows, for how long, its size and its colour histogram; or a file's error."""
 
     def rows(i, data):
         if data is None:
             return
-        gif, at = decode(data), 0
+        try:
+            gif, at = decode(data), 0
+        except ValueError as e:
+            yield i, None, None, None, None, None, None, str(e)
+            return
         for k, (f, shown) in enumerate(zip(gif.frames, composed(gif), strict=True)):
-            yield i, k, at * 10, f.delay_cs * 10, f.width, f.height, histogram(*shown).tolist()
+            yield i, k, at * 10, f.delay_cs * 10, f.width, f.height, histogram(*shown).tolist(), None
             at += f.delay_cs
 
-    return _arrow(files.select("doc_id", "media"), "doc_id long, frame int, at_ms long, delay_ms long, width int, height int, histogram array<long>", [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64())], rows)
+    schema = "doc_id long, frame int, at_ms long, delay_ms long, width int, height int, histogram array<long>, error string"
+    return _arrow(files.select(F.col("doc_id").cast("long").alias("doc_id"), "media"), schema, [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.string()], rows)
 
 
 def media_digests(docs: DataFrame) -> DataFrame:
@@ -295,7 +312,7 @@ def media_digests(docs: DataFrame) -> DataFrame:
         yield i, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature
 
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return _arrow(docs.select("doc_id", "text"), schema, [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()], rows)
+    return _arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), schema, [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()], rows)
 
 
 def op6_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -176,6 +176,70 @@ def test_media(spark, docs):
     assert media_gif.media_digests(docs([])).count() == 0
 
 
+def plain_gif(data):
+    """A second decoder, bit by bit, of files with one global palette: [(left, top, width, height, delay, [indices])], palette."""
+    palette = [tuple(data[13 + 3 * i : 16 + 3 * i]) for i in range(2 << (data[10] & 7))]
+    at, frames, delay = 13 + 3 * len(palette), [], 0
+    while data[at] != 0x3B:
+        if data[at] == 0x21:
+            delay = data[at + 4] | data[at + 5] << 8 if data[at + 1] == 0xF9 else delay
+            at, box = at + 2, None
+        else:
+            box = [data[at + k] | data[at + k + 1] << 8 for k in (1, 3, 5, 7)]
+            least, at = data[at + 10], at + 11
+        body = b""
+        while data[at]:
+            body += data[at + 1 : at + 1 + data[at]]
+            at += 1 + data[at]
+        at += 1
+        if box is None:
+            continue
+        whole, bit, size, table, out, old = int.from_bytes(body, "little"), 0, least + 1, {}, [], None
+        while True:
+            code = whole >> bit & ((1 << size) - 1)
+            bit += size
+            if code == 1 << least:
+                size, table, old = least + 1, {i: [i] for i in range(1 << least)}, None
+                free = (1 << least) + 2
+                continue
+            if code == (1 << least) + 1:
+                break
+            entry = table[code] if code in table else old + old[:1]
+            out += entry
+            if old is not None and free < 4096:
+                table[free] = old + entry[:1]
+                free += 1
+                size = min(12, size + (free == 1 << size))
+            old = entry
+        frames.append((*box, delay, out))
+    return frames, palette
+
+
+def test_files_by_a_second_decoder():
+    rng = random.Random(14)
+    for payload in (bytes(rng.randrange(256) for _ in range(576)), b"abcab" * 20_000 + bytes(288 * 2 - 100_000 % 576), b"\xff" * 576):
+        payload += b"\xff" * (-len(payload) % 576)
+        frames, palette = plain_gif(media_gif.encode(payload))
+        assert b"".join(bytes(palette[i][0] for i in f[5]) for f in frames) == payload
+        assert all(f[2] == 96 and f[4] == 10 and len(f[5]) == f[2] * f[3] for f in frames)
+
+
+def test_broken_files_give_a_row_each(spark):
+    good = media_gif.encode(b"\0" * 576)
+    huge = b"GIF89a" + b"\xff" * 4 + good[10:]
+    wide = good.replace(b"\0\x08", b"\0\xc8", 1)
+    files = spark.createDataFrame([(1, good), (2, huge), (3, wide), (4, b"GIF89a"), (5, good[:400]), (6, None), (1, good), (None, good)], "doc_id long, media binary")
+    got = media_gif.timed_frames(files).collect()
+    assert sorted((r["doc_id"] or 0, r["error"] is not None) for r in got) == [(0, False), (1, False), (1, False), (2, True), (3, True), (4, True), (5, True)]
+
+
+def test_colour_histogram():
+    canvas = np.array([[[0, 0, 0], [255, 0, 0]], [[0, 255, 0], [0, 0, 255]]], np.uint8)
+    all_, some = np.ones((2, 2), bool), np.array([[True, False], [False, True]])
+    assert np.flatnonzero(media_gif.histogram(canvas, all_)).tolist() == [0, 3, 12, 48]
+    assert np.flatnonzero(media_gif.histogram(canvas, some)).tolist() == [0, 3] and len(media_gif.histogram(canvas, some)) == 64
+
+
 def test_automaton_phrases():
     rng = random.Random(5)
     text = "".join(rng.choices("abc", k=300))
