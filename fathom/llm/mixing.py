@@ -9,7 +9,8 @@ Rates come from one count per source. Only the sources named in `weights` join i
 most len(weights) rows, whatever the data. Rows of other or null sources have the rate `other`. A null
 doc_id draws as the id "null"; repeated rows draw alike; null and empty texts are rows like others; an
 empty table gives none. Rates have no upper limit: one beyond PART_RATE is split into equal parts, whose counts
-are drawn by numbers of their own and added (a sum of Poisson counts is one). Columns whose names start with mix_ are replaced.
+are drawn by numbers of their own and added (a sum of Poisson counts is one). Every column of the rows stays: where one
+begins with the added columns' prefix, that gets further underscores.
 """
 
 from __future__ import annotations
@@ -20,9 +21,7 @@ from pyspark.sql import functions as F
 from fathom.llm.common import table
 
 SEED = 17
-#: Of the SQL twin alone: it agrees with the operator up to this rate.
-MAX_RATE = 64.0
-#: Rates up to this are drawn at once; exp(-rate) is far from underflow.
+#: Rates up to this are drawn at once; exp(-rate) is far from underflow. The SQL twin says the same of them, not of greater ones.
 PART_RATE = 128.0
 #: Copies that one row lists at a time.
 RUN = 4096
@@ -64,44 +63,46 @@ def rates(docs: DataFrame, weights: dict[str, float]) -> DataFrame:
 
 
 def mixed_sources(docs: DataFrame, weights: dict[str, float], seed: int = SEED, other: float = 1.0) -> DataFrame:
-    """`docs` repeated and shuffled, with mix_rate, mix_copy (from 1) and mix_key (the shuffle's order) beside their columns."""
+    """`docs` repeated and shuffled, with mix_rate, mix_copy (from 1) and mix_key (the shuffle's order) after their columns."""
     if not weights or min(weights.values()) < 0 or not 0 <= other < float("inf"):
         raise ValueError("weights must be given and none negative")
-    kept = docs.select([c for c in docs.columns if not c.startswith("mix_")])
-    joined = kept.join(F.broadcast(rates(docs, weights)), F.col("source") == F.col("mix_source"), "left")  # len(weights) rows at most
-    rate = F.coalesce(F.col("mix_rate"), F.lit(float(other)))
-    cdf = F.coalesce(F.col("mix_cdf"), poisson_cdf(F.lit(float(other)) / parts(F.lit(float(other)))))
-    u = uniform(F.lit(seed), F.col("doc_id"))
+    p = "mix"
+    while any(c.startswith(p) for c in docs.columns):
+        p += "_"
+    found = rates(docs, weights).select(*[F.col(f"mix_{c}").alias(f"{p}_{c}") for c in ("source", "rate", "cdf")])
+    joined = docs.join(F.broadcast(found), F.col("source") == F.col(f"{p}_source"), "left")  # len(weights) rows at most
+    rate = F.coalesce(F.col(f"{p}_rate"), F.lit(float(other)))
+    cdf = F.coalesce(F.col(f"{p}_cdf"), poisson_cdf(F.lit(float(other)) / parts(F.lit(float(other)))))
     drawn = lambda u: F.size(F.filter(cdf, lambda c: c <= u))
     more = F.aggregate(F.sequence(F.lit(1), parts(rate) - 1), F.lit(0), lambda n, j: n + drawn(uniform(F.lit(seed), F.col("doc_id"), j)))
-    copies = drawn(F.col("mix_u")) + F.when(parts(rate) > 1, more).otherwise(0)
-    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("mix_copy").cast("string")).cast("binary"))
+    copies = drawn(F.col(f"{p}_u")) + F.when(parts(rate) > 1, more).otherwise(0)
+    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col(f"{p}_copy").cast("string")).cast("binary"))
     return (
-        joined.withColumn("mix_u", u)
-        .withColumn("mix_n", copies)
-        .where("mix_n > 0")
-        .withColumn("mix_run", F.explode(F.sequence(F.lit(1), F.col("mix_n"), F.lit(RUN))))
-        .withColumn("mix_copy", F.explode(F.sequence(F.col("mix_run"), F.least(F.col("mix_n"), F.col("mix_run") + (RUN - 1)))))
-        .select(*kept.columns, rate.alias("mix_rate"), "mix_copy", key.alias("mix_key"))
-        .repartition(F.col("mix_key"))
-        .sortWithinPartitions("mix_key")
+        joined.withColumn(f"{p}_u", uniform(F.lit(seed), F.col("doc_id")))
+        .withColumn(f"{p}_n", copies)
+        .where(F.col(f"{p}_n") > 0)
+        .withColumn(f"{p}_run", F.explode(F.sequence(F.lit(1), F.col(f"{p}_n"), F.lit(RUN))))
+        .withColumn(f"{p}_copy", F.explode(F.sequence(F.col(f"{p}_run"), F.least(F.col(f"{p}_n"), F.col(f"{p}_run") + (RUN - 1)))))
+        .select(*[F.col(f"`{c}`") for c in docs.columns], rate.alias(f"{p}_rate"), f"{p}_copy", key.alias(f"{p}_key"))
+        .repartition(F.col(f"{p}_key"))
+        .sortWithinPartitions(f"{p}_key")
     )
 
 
 def op2_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixed_sources(table(spark, sf_dir, "documents"), WEIGHTS)
+    mixed = mixed_sources(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), WEIGHTS)
     return mixed.select("doc_id", "source", F.col("mix_copy").cast("long").alias("copy"), F.round("mix_rate", 9).alias("rate"), F.col("mix_key").alias("shuffle_key"), "text")
 
 
 OP2_SQL = f"""
 WITH n AS (SELECT count(*) AS n_all FROM documents),
      s AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
-     r AS (SELECT source, least({MAX_RATE}::DOUBLE, 0.05::DOUBLE * n_all / n) AS rate FROM s, n
+     r AS (SELECT source, 0.05::DOUBLE * n_all / n AS rate FROM s, n
            WHERE source IN ({", ".join(f"'{x}'" for x in WEIGHTS)})),
      d AS (SELECT d.*, coalesce(r.rate, 1.0::DOUBLE) AS rate,
                   ('0x' || substring(md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE / 4503599627370496 AS u
            FROM documents d LEFT JOIN r ON d.source = r.source),
-     k AS (SELECT unnest(range(0, 200)) AS k),
+     k AS (SELECT unnest(range(0, {int(PART_RATE + 12 * PART_RATE**0.5 + 21)})) AS k),
      p AS (SELECT DISTINCT rate FROM d),
      c AS (SELECT rate, k, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) OVER (PARTITION BY rate ORDER BY k) AS cdf FROM p, k)
 SELECT d.doc_id, d.source, (c.k + 1)::BIGINT AS copy, round(d.rate, 9) AS rate,

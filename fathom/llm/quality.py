@@ -8,7 +8,9 @@ the mean of looked-up numbers: the same score, whatever the embedding's width.
 
 Texts are read as they are (case and symbols tell quality). Null and empty texts have no features and score
 by the bias alone. Repeated labels each count; labels other than 0 and 1, and null ones, are not learned
-from; without both labels to learn from, every score is 0.5. Other columns are never inputs.
+from; without both labels to learn from, every score is 0.5. Other columns are never inputs. An empty table gives
+no rows; repeated rows give repeated rows with equal scores. A score equal to the cut is predicted 1. Very long texts
+are scored whole: BLOCK bytes of texts at a time, a longer text alone, with work arrays some 40 times its size.
 """
 
 from __future__ import annotations
@@ -110,6 +112,7 @@ def train(docs: DataFrame, labels: DataFrame, held: Column) -> Model:
     wanted = labels.where(~held & F.col("quality").isin(0, 1)).select(F.col("doc_id").alias("label_id"), F.col("quality").alias("label"))
     sample = wanted.orderBy(F.xxhash64("label_id"), "label").limit(TRAIN_ROWS)
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("label_id"))  # TRAIN_ROWS rows at most
+    rows = rows.orderBy(F.xxhash64("label_id", "text"), "label").limit(TRAIN_ROWS)  # ids may repeat
     bags = rows.select(F.xxhash64("label_id").alias("at"), "label", "text").mapInArrow(_bags, "at long, label int, ids array<int>, shares array<float>")
     got = [(np.asarray(i, np.int64), np.asarray(s, np.float32), y) for b in bags.orderBy("at", "label").toArrow().to_batches() for y, i, s in zip(b.column(1).to_pylist(), (x.values.to_numpy() for x in b.column(2)), (x.values.to_numpy() for x in b.column(3)), strict=True)]
     return fit(got)

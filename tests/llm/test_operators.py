@@ -88,6 +88,14 @@ def test_mixing(docs):
         mixing.mixed_sources(docs([]), {})
 
 
+def test_mixing_stays_in_dataframe_functions_and_keeps_columns(docs):
+    d = docs([(1, "t", "en", "hot"), (1, "t", "en", "hot")]).withColumns({"mix_rate": F.lit("clash"), "mix_key": F.lit("clash")})
+    out = mixing.mixed_sources(d, {"hot": 1.0}, other=2.0)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+    assert out.columns == [*d.columns, "mix__rate", "mix__copy", "mix__key"] and all(r["mix_rate"] == "clash" for r in out.collect())
+
+
 def test_mixing_of_rare_sources(docs):
     """Sources far below their share reach it: rates of 100, in one part, and 1500, in parts."""
     rows = [(i, "t", "en", "common") for i in range(2990)] + [(3000 + i, "t", "en", "few") for i in range(9)] + [(4000, "t", "en", "one")]

@@ -1,6 +1,7 @@
 """Base spans against a plain reading of the rules, redaction, and the added spans."""
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -70,6 +71,46 @@ def test_added_spans(spark, docs):
     assert (texts[1][s:e], pii.KINDS[o]) == ("(743) 555-3824", "phone")
 
 
+def test_overlapping_proposals(spark, docs):
+    """Kinds propose at one place; the trees choose, and what is chosen neither touches a base span nor another choice."""
+    texts = ["card 4111 . 1111 . 1111 . 1111", "pay with 4111.1111.1111.1111 or call 555-382-1234", "host 10 . 0 . 0 . 1 and 4111 1111 1111 1111", "jo @ mail.com or jo@mail.com", "10[.]0[.]0[.]1 4111_1111_1111_1111 (743) 555-3824"]
+    found = docs(list(enumerate(texts))).select("doc_id", *[F.size(pii.proposals(F.col("text"), k)).alias(k) for k in pii.KINDS]).collect()
+    assert all(sum(r[k] > 0 for k in pii.KINDS) > 1 for r in found if r["doc_id"] in (1, 2, 4))
+    for i, (base, spans) in results(spark, docs, texts).items():
+        assert base == brute(texts[i]) and set(base) <= set(spans)
+        for x in set(spans) - set(base):
+            assert not any(y != x and y[0] < x[2] and x[0] < y[2] for y in spans)
+
+
+def test_resolution_against_brute_force(spark):
+    rng = random.Random(2)
+    pools = []
+    for _ in range(60):
+        pool = [(s := rng.randrange(60), rng.randrange(4), s + rng.randint(1, 12), rng.choice([float("inf"), 0.5, 1.0, 1.5])) for _ in range(rng.randint(0, 12))]
+        pools.append(sorted(set(pool)))
+    frame = spark.createDataFrame(list(enumerate(pools)), "id int, p array<struct<s:int,o:int,e:int,margin:double>>")
+    got = {r["id"]: [tuple(x) for x in r["out"]] for r in frame.select("id", pii.resolved(F.col("p")).alias("out")).collect()}
+    key = lambda x: (-x[3], x[0], -x[2], x[1])
+    for i, pool in enumerate(pools):
+        assert got[i] == [x for x in pool if x[3] == float("inf") or not any(key(y) < key(x) and y[0] < x[2] and x[0] < y[2] for y in pool)]
+
+
+def test_held_out_examples(spark):
+    """Proposals on words and contexts that neither training nor calibration saw."""
+    for precision, recall in pii.report(spark).values():
+        assert precision > 0.97 and recall > 0.9
+
+
+def test_many_spans_and_clashing_columns(spark, docs):
+    one = "a@b.cd +1 222 333 4444 x 1.2.3.4@c.de é "
+    rows = [(1, one * 3000), (1, one * 3000), (2, "n"), (3, one * 40)]
+    d = docs(rows).withColumns({"pii_base": F.lit(1), "base0": F.lit(2), "spans0": F.lit(3)})
+    got = pii.redacted(d).collect()
+    assert len(got) == 4 and got[0].asDict().keys() == set(d.columns)
+    want = "[EMAIL] [PHONE] x [EMAIL] é "
+    assert sorted({(r["doc_id"], r["text"]) for r in got}) == [(1, want * 3000), (2, "n"), (3, want * 40)]
+
+
 def test_redaction_and_nulls(spark, docs):
     rows = {r["doc_id"]: r for r in pii.redacted(docs([(1, "é a@b.cd x +1 222 333 4444"), (2, None), (3, ""), (4, "plain")])).collect()}
     assert rows[1]["text"] == "é [EMAIL] x [PHONE]"
