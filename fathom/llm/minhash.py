@@ -8,10 +8,10 @@ registers are as likely as sets are similar. Work runs in these steps:
 2. equal sets become one node, so that exact copies cost one row each from here on;
 3. registers are banded, BANDS of ROWS; the members of a band's bucket are tied to its first member, and the
    components of these ties are clusters: two nodes that share a band are in one cluster;
-4. a cluster of at most BLOCK nodes is one group. In a larger one every node is first verified against the likeliest
-   head of its buckets, which joins groups of near copies in linear work; each bucket whose nodes are not joined yet
-   is then a group, dealt into blocks of BLOCK nodes and BLOCK_BYTES of sets at most (on average), and each two of
-   its blocks meet in one task;
+4. a cluster is a group, dealt into blocks of BLOCK nodes and BLOCK_BYTES of sets at most (on average), and each two of
+   its blocks meet in one task. In a cluster of more than BANDS blocks, where that would copy a text more often than
+   its bands do, every node is first verified against the likeliest head of its buckets, which joins groups of near
+   copies in linear work, and then each bucket whose nodes are not joined yet is a group;
 5. within a group, pairs that share a band and fit by size are estimated jointly from all registers and both set
    sizes by maximum likelihood; those more than SIGMAS standard errors below the threshold are dropped, the others
    verified on full sets, likelier ones first, unless verified links join them already; what leaves a group is a
@@ -45,6 +45,8 @@ SCALE_BASE, RATE, LIMIT = 1.001, 20.0, 65535
 SIGMAS = 5.0
 #: Nodes of a block and bytes of their sets; two blocks meet in one task at a time.
 BLOCK, BLOCK_BYTES = 512, 1 << 24
+#: Blocks of a cluster that is one group.
+MOST_BLOCKS = BANDS
 _FACTORS = mixed(np.arange(REGISTERS), 7) | np.uint64(1)
 
 
@@ -298,11 +300,11 @@ def _links(docs: DataFrame, nodes: DataFrame, width: int, least: tuple[int, int]
     wanted = placed.join(nodes.select("node", "label", "n_shingles", "regs"), "node")
     ids = wanted.select(F.col("label.id").alias("doc_id"), F.col("label.t").alias("t"), "node")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text").join(ids.hint("merge"), ["doc_id", "t"]).select("node", "text").dropDuplicates(["node"])
-    large = placed.where("blocks > 1").select("node")
+    large = placed.where(F.col("blocks") > MOST_BLOCKS).select("node")
     some_large = large.limit(1).count() > 0
     texts = stored(texts) if some_large else texts
     group = ["grp", "blocks", "node", "comp", "n_shingles", "regs", "text"]
-    small = wanted.where("blocks = 1").select(F.col("cluster").alias("grp"), "blocks", "node", F.col("node").alias("comp"), "n_shingles", "regs")
+    small = wanted.where(F.col("blocks") <= MOST_BLOCKS).select(F.col("cluster").alias("grp"), "blocks", "node", F.col("node").alias("comp"), "n_shingles", "regs")
     links = verified(small.join(texts, "node").select(group), width, least)
     if not some_large:
         return links

@@ -61,6 +61,8 @@ def test_against_brute_force(docs, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 16)  # clusters of several blocks
     check(docs, corpus(1, 150, 6), 3, (85, 100))
     check(docs, corpus(2, 120, 4), 5, (80, 100))
+    monkeypatch.setattr(minhash, "MOST_BLOCKS", 1)  # heads first, then buckets
+    check(docs, corpus(3, 150, 5), 3, (85, 100))
 
 
 def test_edge_cases(docs):
@@ -80,6 +82,12 @@ def test_deduplicated(docs):
     assert [g[0] for g in got] == [0, 1, 7, 8]
 
 
+def test_an_id_with_two_texts_leaves_one(docs):
+    rows = [(1, "a b c d e f g h"), (1, "a b c d e f g h i"), (4, "a b c d e f g h"), (9, "z")]
+    got = minhash.deduplicated(docs(rows), 3, (80, 100)).collect()
+    assert sorted(r["doc_id"] for r in got) == [1, 9]
+
+
 def sets_of(texts, width):
     data, offsets = utf8(pa.array(texts))
     return minhash.shingle_sets(data, offsets, width)

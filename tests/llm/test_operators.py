@@ -93,7 +93,7 @@ def test_mixing_stays_in_dataframe_functions_and_keeps_columns(docs):
     out = mixing.mixed_sources(d, {"hot": 1.0}, other=2.0)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
-    assert out.columns == [*d.columns, "mix__rate", "mix__copy", "mix__key"] and all(r["mix_rate"] == "clash" for r in out.collect())
+    assert out.columns == [*d.columns, "mix___rate", "mix___copy", "mix___key"] and all(r["mix_rate"] == "clash" for r in out.collect())
 
 
 def test_mixing_of_rare_sources(docs):
