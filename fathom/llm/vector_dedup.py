@@ -43,7 +43,7 @@ THRESHOLD = 0.9
 OVERLAP, CELL_ROWS, MAX_CELLS, CELL_SAMPLE = 4, 1000, 16_384, 4
 SHARD_ROWS, CANDIDATES, DEGREE, LONG, ALPHA = 4096, 32, 12, 4, 1.2
 NEAR, FAR = 24, 8
-REGION_ROWS, QUERY_ROWS, MOST_TASKS = 16_384, 4096, 20_000
+REGION_ROWS, QUERY_ROWS, MOST_TASKS = 16_384, 8192, 20_000
 BEAM, MEDOIDS, QUERY_BLOCK = 32, 16, 256
 AUDIT_ROWS, AUDIT_MOST, AUDIT_LINKS, AUDIT_RECALL = 256, 16_384, 100, 0.98
 
