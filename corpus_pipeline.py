@@ -1,7 +1,13 @@
 """Corpus pipeline: quality filter, near-duplicate removal, redaction, source mixing, tokens.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
-documents. run() writes and rereads each stage's rows in the shared folder, so that no stage is computed twice.
+documents. run() writes and rereads each stage's rows in the shared folder, so that no stage is computed twice, and
+deletes what a stage wrote on its way.
+
+Every stage takes null ids, null, empty and very long texts, repeated rows, empty tables and further columns, which stay.
+Without both labels every score is 0.5, so all rows pass the filter; a text scored at the cut passes. Rows with a null
+id are no duplicates of any; of a group the smallest id stays, of its repetitions one. A null text has no spans and no tokens.
+Rows of a null or unlisted source keep the rate 1; repeated rows are repeated alike.
 """
 
 from __future__ import annotations
@@ -10,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.llm import bpe, minhash, mixing, pii, quality
-from fathom.llm.common import stored, table
+from fathom.llm.common import scope, table
 from fathom.llm.langid import remainder
 
 #: Near duplicates: words in a shingle, and the least similarity (as a fraction).
@@ -20,8 +26,8 @@ SHINGLE, LEAST = 5, (80, 100)
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents whose quality score reaches the cut; the classifier learns from the labelled ones."""
     model = quality.train(docs, table(spark, sf_dir, "labels"), remainder(F.col("doc_id"), 5) == 0)
-    scored = quality.scored(docs, model, "fathom_quality")
-    return scored.where(F.col("fathom_quality") >= quality.CUT).select(docs.columns)
+    name = next(n for i in range(len(docs.columns) + 1) if (n := f"quality_{i}") not in docs.columns)
+    return quality.scored(docs, model, name).where(F.col(name) >= quality.CUT).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,5 +67,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+        with scope(spark) as keep:
+            docs = keep(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
