@@ -10,31 +10,33 @@ from fathom.functions.text import tokens
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
-def postings(items: DataFrame) -> DataFrame:
-    """(item_id, token, tf, dl) of items (item_id, text)."""
-    split = items.select("item_id", tokens(F.col("text")).alias("t"))
-    counted = split.select("item_id", F.size("t").alias("dl"), F.explode("t").alias("token"))
-    return counted.groupBy("item_id", "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
+def bm25(items: DataFrame, queries: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, query_id, item_id, score) of the pairs that share a token; items are ranked within each value of the columns `by`.
 
-
-def bm25(items: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, item_id, score) of the pairs that share a token.
-
-    Repeated query tokens count repeatedly. A token in more than half of the items has a negative weight, which
-    becomes EPSILON times the mean weight. Postings are restricted to the queries' tokens before they are shuffled by token.
+    Repeated query tokens count repeatedly. A token in more than half of the items has a negative weight, which becomes
+    EPSILON times the mean weight. Item ids are unique within `by`. One pass counts each token's items, its partial sums made
+    before the shuffle; the number of items and their length ride along as the null token. A second pass keeps only
+    the queries' tokens of each item, counts them, and is shuffled by token only if the queries' table is too large to broadcast.
     """
-    posted = postings(items)
-    asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("qtf"))
-    size = items.select(F.size(tokens(F.col("text"))).alias("n")).agg(F.count(F.lit(1)).alias("n_items"), F.avg("n").alias("avgdl"))
-    df = posted.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    by = list(by)
+    split = items.select(*by, "item_id", tokens(F.col("text")).alias("t")).withColumn("dl", F.size("t"))
+    marked = split.select(*by, "dl", F.explode(F.concat(F.array_distinct("t"), F.array(F.lit(None).cast("string")))).alias("token"))
+    counted = marked.groupBy(*by, "token").agg(F.count(F.lit(1)).alias("df"), F.sum("dl").alias("total"))
+    size = counted.where("token IS NULL").select(*by, F.col("df").alias("n_items"), (F.col("total") / F.col("df")).alias("avgdl"))
     raw = F.log(F.col("n_items") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    weights = df.crossJoin(F.broadcast(size)).withColumn("raw", raw)  # one row
-    mean = weights.agg(F.avg("raw").alias("mean"))
-    weights = weights.join(asked.select("token").distinct(), "token", "left_semi").crossJoin(F.broadcast(mean))  # one row
-    weights = weights.select("token", "avgdl", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    words = counted.where("token IS NOT NULL").drop("total")
+    weights = (words.join(F.broadcast(size), by) if by else words.crossJoin(F.broadcast(size))).withColumn("raw", raw)  # a row for each value of `by`
+    mean = weights.groupBy(*by).agg(F.avg("raw").alias("mean"))
+    asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("qtf"))
+    wanted = weights.join(asked.select("token").distinct(), "token", "left_semi")
+    wanted = wanted.join(F.broadcast(mean), by) if by else wanted.crossJoin(F.broadcast(mean))  # a row for each value of `by`
+    wanted = wanted.select(*by, "token", "avgdl", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    terms = asked.join(wanted, "token")
+    posted = split.select(*by, "item_id", "dl", F.explode("t").alias("token")).join(asked.select("token").distinct(), "token", "left_semi")
+    posted = posted.groupBy(*by, "item_id", "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    pairs = posted.join(weights, "token").join(asked, "token")
-    return pairs.groupBy("query_id", "item_id").agg(F.round(F.sum(part), 6).alias("score"))
+    pairs = posted.join(terms, [*by, "token"])
+    return pairs.groupBy(*by, "query_id", "item_id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
 def full_ranks(scored: DataFrame, items: DataFrame, queries: DataFrame, depth: int) -> DataFrame:

@@ -38,7 +38,8 @@ def top_k(items: DataFrame, queries: DataFrame, k: int, metric: str = "cosine",
     items (item_id, vec), queries (query_id, qvec). metric: cosine, dot, or max_sim, where vectors are sequences of
     parts of `width` numbers and the score sums each query part's largest dot product with an item part. Both sides are packed into blocks; each pair of blocks is one
     matrix product that returns its k best per query, so that the shuffle carries k rows a query and block, and
-    no task holds more than two blocks. The pairs of blocks are those of an exhaustive search.
+    no task holds more than two blocks. The pairs of blocks are those of an exhaustive search: for large tables use probe().
+    Items and queries must be vectors of one length.
     """
     if metric not in ("cosine", "dot", "max_sim") or (metric == "max_sim" and width < 1):
         raise ValueError(f"unknown metric {metric}, or no width")
@@ -48,6 +49,8 @@ def top_k(items: DataFrame, queries: DataFrame, k: int, metric: str = "cosine",
         for b in batches:
             for r in range(b.num_rows):
                 ids, x, qids, q = (b.column(c)[r].values.to_numpy() for c in range(4))
+                if len(x) % len(ids) or len(q) % len(qids) or len(x) // len(ids) != len(q) // len(qids):
+                    raise ValueError("vectors differ in length")
                 x, q = x.reshape(len(ids), -1), q.reshape(len(qids), -1)
                 if metric == "max_sim":
                     s = (q.reshape(-1, width) @ x.reshape(-1, width).T).reshape(len(qids), -1, len(ids), x.shape[1] // width).max(3).sum(1)
@@ -102,13 +105,18 @@ def centroids(items: DataFrame, group: str) -> DataFrame:
     return dims.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "m"))), lambda x: x["m"]).alias("centroid"))
 
 
+#: Cells that an index may have: their centroids go to every task as one row.
+MOST_CELLS = 65_536
+
+
 def with_cells(items: DataFrame, centres: DataFrame, vec: str = "vec", n: int = 1, name: str = "cell") -> DataFrame:
-    """Each row with its n nearest cells, nearest first (one row a cell). centres: (cell, centroid), at most some thousands."""
-    rows = centres.select("cell", "centroid").limit(65_536).collect()  # cells are a parameter of the index, not data
-    cells = [r["cell"] for r in rows]
-    matrix = F.array(*[F.struct(F.lit(c).alias("cell"), F.array(*[F.lit(float(x)) for x in r["centroid"]]).alias("c")) for c, r in zip(cells, rows, strict=True)])
-    near = F.transform(matrix, lambda m: F.struct((-F.round(V.cosine(F.col(vec), m["c"]), DIGITS)).alias("d"), m["cell"].alias("cell")))
-    return items.withColumn("near__", F.slice(F.array_sort(near), 1, n)).withColumn(name, F.explode(F.transform("near__", lambda x: x["cell"]))).drop("near__")
+    """Each row with its n nearest cells, nearest first (one row a cell). centres: (cell, centroid), MOST_CELLS at most; more are an error."""
+    if centres.limit(MOST_CELLS + 1).count() > MOST_CELLS:
+        raise ValueError(f"more than {MOST_CELLS} cells")
+    one = centres.agg(F.collect_list(F.struct("cell", F.col("centroid").alias("c"))).alias("cells__"))  # MOST_CELLS at most, by the check above
+    near = F.transform("cells__", lambda m: F.struct((-F.round(V.cosine(F.col(vec), m["c"]), DIGITS)).alias("d"), m["cell"].alias("cell")))
+    found = items.crossJoin(F.broadcast(one)).withColumn("near__", F.slice(F.array_sort(near), 1, n))  # one row
+    return found.withColumn(name, F.explode(F.transform("near__", lambda x: x["cell"]))).drop("near__", "cells__")
 
 
 def probe(items: DataFrame, queries: DataFrame, centres: DataFrame, n_probe: int, k: int) -> DataFrame:

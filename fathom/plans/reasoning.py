@@ -10,8 +10,6 @@ from fathom.operators import fuse, generation, grade, graph, lexical, retrieve,
 from fathom.plans.search import _BM, _DOT, _RANK, _TOK, _TOP, _V, _asked, _bm25, _docs
 from fathom.sources.tables import table, vector_queries, vectors
 
-PASSAGE_CHARS = 600
-
 
 def _candidates(s, d, k=5):
     """Each benchmark text's k best documents by BM25: (query_id, query, item_id, rank, text)."""
@@ -52,7 +50,7 @@ def _judge(s, d):
 
 def _refine(s, d):
     rate = lambda q, x: 1 + F.floor(4 * OverlapScorer().score(x, q))
-    return grade.refined(_candidates(s, d).withColumn("text", F.substring("text", 1, PASSAGE_CHARS)), rate)
+    return grade.refined(_candidates(s, d), rate)
 
 
 def _rerank(s, d):
@@ -219,11 +217,11 @@ QUERIES = {
     "rerank_overlap": _rerank,
     "compress_extractive": _compress,
     "compression_ratio": _ratio,
-    "context_join": lambda s, d: grade.context(_asked(s, d).select("query_id").join(_candidates(s, d, 3).withColumn("text", F.substring("text", 1, PASSAGE_CHARS)).select("query_id", "rank", "text"), "query_id", "left")),
+    "context_join": lambda s, d: grade.context(_asked(s, d).select("query_id").join(_candidates(s, d, 3).select("query_id", "rank", "text"), "query_id", "left")),
     "naive_vs_pool_vs_final": _stages,
     "self_rag_trace": _self_rag,
     "adaptive_pipeline": _adaptive,
-    "graph_build": lambda s, d: graph.built(_edges(s, d).select(F.col("src").alias("s"), F.col("relationship").alias("r"), F.col("dst").alias("o"), "source_chunk"), table(s, d, "part").where("p_partkey > 1000").select(F.concat(F.lit("P"), "p_partkey").alias("name"), F.concat(F.lit("B:"), "p_brand").alias("canonical"))).groupBy("dst", "relationship").agg(F.count(F.lit(1)).alias("n_edges")),
+    "graph_build": lambda s, d: graph.built(_edges(s, d).select(F.col("src").alias("s"), F.col("relationship").alias("r"), F.col("dst").alias("o"), "source_chunk"), table(s, d, "part").select(F.concat(F.lit("P"), "p_partkey").alias("name"), F.concat(F.lit("B:"), "p_brand").alias("canonical"))).groupBy("dst", "relationship").agg(F.count(F.lit(1)).alias("n_edges")),
     "graph_counts": lambda s, d: _edges(s, d).agg(F.count(F.lit(1)).alias("n_edges"), (F.countDistinct("src") + F.countDistinct("dst")).alias("n_nodes")),
     "local_search_1hop": _hops(1),
     "local_search_2hop": _hops(2),
@@ -262,8 +260,7 @@ _ROUTE = """CASE WHEN (contains(lower(text), ' and ') OR contains(lower(text), '
 _CEN = "cen AS (SELECT label AS cell, list(m ORDER BY dim) AS centroid FROM (SELECT label, dim, avg(x) AS m FROM (SELECT label, unnest(vec)::DOUBLE AS x, generate_subscripts(vec, 1) AS dim FROM v) GROUP BY label, dim) GROUP BY label)"
 _CROUTE = f"WITH {_V}, {_CEN} SELECT item_id, label::BIGINT AS truth, cell::BIGINT AS route FROM v, cen QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY round({_DOT.format('vec', 'centroid')} / (sqrt({_DOT.format('vec', 'vec')}) * sqrt({_DOT.format('centroid', 'centroid')}) + 1e-8), 9) DESC, cell) = 1"
 _SENT = lambda x: rf"list_filter(list_transform(string_split(regexp_replace({x}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda z: regexp_replace(z, '^[\s\x{{A0}}]+|[\s\x{{A0}}]+$', '', 'g')), lambda z: length(z) > 0)"
-_PASS = f"substring(text, 1, {PASSAGE_CHARS})"
-_REFINE = _CAND(5) + f""", p AS (SELECT query_id, query, rank, {_PASS} AS text FROM c),
+_REFINE = _CAND(5) + f""", p AS (SELECT query_id, query, rank, text FROM c),
   s AS (SELECT query_id, query, rank, unnest({_SENT('text')}) AS x, generate_subscripts({_SENT('text')}, 1) AS pos FROM p),
   k AS (SELECT * FROM s WHERE length(x) > 20 AND 1 + floor(4 * ({_SHARE('x', 'query')})) >= 3),
   g AS (SELECT query_id, string_agg(x, chr(10) ORDER BY rank, pos) AS text FROM k GROUP BY 1)
@@ -306,11 +303,11 @@ SQL = {
     "rerank_overlap": f"{_CAND(10)} {_RERANKED('c')}",
     "compress_extractive": f"{_CAND(3)}, {_COMP} SELECT query_id, item_id, before, text, length(text) AS after FROM z WHERE text <> ''",
     "compression_ratio": f"{_CAND(3)}, {_COMP} SELECT round(1 - (SELECT sum(length(text)) FROM z) / (SELECT sum(length(text)) FROM c)::DOUBLE, 6) AS reduction",
-    "context_join": f"{_CAND(3)} SELECT q.item_id AS query_id, coalesce(string_agg(substring(c.text, 1, {PASSAGE_CHARS}), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank), '(no context available)') AS context FROM benchmark q LEFT JOIN c ON c.query_id = q.item_id GROUP BY 1",
+    "context_join": f"{_CAND(3)} SELECT q.item_id AS query_id, coalesce(string_agg(c.text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank), '(no context available)') AS context FROM benchmark q LEFT JOIN c ON c.query_id = q.item_id GROUP BY 1",
     "naive_vs_pool_vs_final": f"""{_CAND(15)}, f AS ({_RERANKED('c')}), k AS (SELECT item_id AS query_id, string_split(lower(text), ' ')[1:3] AS keys FROM benchmark)
       SELECT k.query_id, {', '.join(f"len(list_filter(keys, lambda y: NOT contains(coalesce({n}.t, ''), y))) = 0 AS {c}" for n, c in (('a1', 'naive'), ('a2', 'pool'), ('a3', 'final')))}
       FROM k LEFT JOIN {_STAGE('a1', 'SELECT * FROM h WHERE rank <= 2')} ON a1.query_id = k.query_id LEFT JOIN {_STAGE('a2', 'SELECT * FROM h')} ON a2.query_id = k.query_id LEFT JOIN {_STAGE('a3', 'SELECT * FROM f')} ON a3.query_id = k.query_id""",
-    "graph_build": f"SELECT CASE WHEN p.p_partkey IS NULL THEN dst ELSE 'B:' || p_brand END AS dst, relationship, count(*) AS n_edges FROM ({_E}) LEFT JOIN part p ON p.p_partkey > 1000 AND dst = 'P' || p.p_partkey GROUP BY ALL",
+    "graph_build": f"SELECT CASE WHEN p.p_partkey IS NULL THEN dst ELSE 'B:' || p_brand END AS dst, relationship, count(*) AS n_edges FROM ({_E}) LEFT JOIN part p ON dst = 'P' || p.p_partkey GROUP BY ALL",
     "graph_counts": f"SELECT count(*) AS n_edges, count(DISTINCT src) + count(DISTINCT dst) AS n_nodes FROM ({_E})",
     "local_search_1hop": f"WITH e AS ({_E}) {_COUNT.format(_HOP(_SEED))}",
     "local_search_2hop": f"WITH e AS ({_E}), h1 AS ({_HOP(_SEED)}) {_COUNT.format('SELECT DISTINCT f.query_id, e.* FROM e JOIN (SELECT query_id, src AS node FROM h1 UNION SELECT query_id, dst FROM h1 UNION ' + _SEED + ') f ON e.src = f.node UNION SELECT DISTINCT f.query_id, e.* FROM e JOIN (SELECT query_id, src AS node FROM h1 UNION SELECT query_id, dst FROM h1 UNION ' + _SEED + ') f ON e.dst = f.node')}",

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fathom.functions import vectors as V
 from fathom.operators import chunk, fuse, lexical, metrics, retrieve, vector
 from fathom.plans.chunking import _GROUPS, windows_sql
 from fathom.plans.chunking import SQL as CHUNKS_SQL
+from fathom.sources.index_store import stored
 from fathom.sources.tables import table, vector_queries, vectors
 
 K = 5
@@ -92,14 +94,15 @@ def _label_metrics(s, d):
 
 def _strategies(s, d):
     docs = table(s, d, "documents").select("doc_id", "text")
-    asked, qrels = _asked(s, d), _qrels(s, d)
-    out = []
-    for name, rows in (("fixed", chunk.windows(docs, "doc_id", 400, 50, 40)), ("sentence", chunk.sentence_groups(docs, "doc_id"))):
-        items = rows.select((F.col("doc_id") * 100_000 + F.col("pos")).alias("item_id"), "doc_id", "text")
-        hits = vector.ranked(lexical.bm25(items, asked), 10)
-        by_doc = retrieve.best_per_group(hits, items.select("item_id", "doc_id"), "doc_id", 5)
-        out.append(metrics.means(metrics.per_query(asked, by_doc, qrels, 3, 5)).withColumn("strategy", F.lit(name)))
-    return reduce(lambda a, b: a.union(b), out)
+    asked, qrels = _asked(s, d), stored(_qrels(s, d))
+    made = {"fixed": chunk.CHUNKERS["fixed"](docs, "doc_id"), "sentence": chunk.CHUNKERS["sentence"](docs, "doc_id")}
+    chunks = reduce(lambda a, b: a.union(b), [rows.select(F.lit(name).alias("strategy"), F.struct("doc_id", "pos").alias("item_id"), "text") for name, rows in made.items()])
+    hits = vector.ranked(lexical.bm25(chunks, asked, ("strategy",)), 10, ("strategy", "query_id"))
+    by_doc = stored(hits.groupBy("strategy", "query_id", F.col("item_id.doc_id").alias("doc_id")).agg(F.min("rank").alias("at")))
+    order = Window.partitionBy("strategy", "query_id").orderBy("at", "doc_id")
+    first = by_doc.withColumn("rank", F.row_number().over(order)).where("rank <= 5").select("strategy", "query_id", F.col("doc_id").alias("item_id"), "rank")
+    each = [metrics.means(metrics.per_query(asked, first.where(F.col("strategy") == name), qrels, 3, 5)).withColumn("strategy", F.lit(name)) for name in made]
+    return reduce(lambda a, b: a.union(b), each)
 
 
 def strategy_compare(s, d):
