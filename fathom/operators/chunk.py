@@ -137,57 +137,75 @@ def recursive(docs: DataFrame, key: str, size: int = 512, overlap: int = 50, sep
     return docs.select(key, F.posexplode(pieces("text")).alias("pos", "text")).where(F.length("text") >= min_chars)
 
 
-def sentence_vectors(docs: DataFrame, key: str, dims: int = 32) -> DataFrame:
-    """Hashed word vectors of sentences in long form: (key, pos, dim, w), integer weights."""
-    words = sentence_rows(docs, key).select(key, "pos", F.explode(F.split(F.lower("text"), " ")).alias("token")).where("token <> ''")
-    return hashed(words, [key, "pos"], dims)
+def word_vector(words: Column, dims: int) -> Column:
+    """Signed feature hashing of an array of words into `dims` whole numbers, inside the row."""
+    hashes = F.transform(F.filter(words, lambda w: w != ""), lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("long"))
+    cells = F.transform(hashes, lambda h: F.struct((h % dims).alias("d"), F.when(F.floor(h / dims) % 2 == 0, 1).otherwise(-1).alias("s")))
 
+    def summed(c: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.aggregate(F.filter(c, lambda x: x["d"] == d), F.lit(0).cast("long"), lambda a, x: a + x["s"]))
 
-def hashed(words: DataFrame, keys: list[str], dims: int) -> DataFrame:
-    """Signed feature hashing of token rows: (keys, dim, w)."""
-    h = F.conv(F.substring(F.md5(F.col("token").cast("binary")), 1, 8), 16, 10).cast("long")
-    sign = F.when(F.floor(h / dims) % 2 == 0, 1).otherwise(-1)
-    return words.select(*keys, (h % dims).alias("dim"), sign.alias("s")).groupBy(*keys, "dim").agg(F.sum("s").cast("long").alias("w")).where("w <> 0")
+    return F.transform(F.array(cells), summed)[0]
+
+
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0).cast("long"), lambda s, v: s + v)
+
+
+def _words(text: Column) -> Column:
+    return F.split(F.lower(text), " ")
+
+
+def _with_sentences(docs: DataFrame, dims: int) -> DataFrame:
+    """`docs` with s (sentences) and v (their vectors), all inside the row."""
+    split = docs.withColumn("s", sentences(F.col("text")))
+    return split.withColumn("v", F.transform("s", lambda x: word_vector(_words(x), dims)))
+
+
+def _similarities(v: Column) -> Column:
+    """Each vector's cosine with the one before, 0 where either is zero; the first has null."""
+
+    def inside(x: Column) -> Column:
+        def one(n2: Column, i: Column) -> Column:
+            n1 = F.get(x["n"], i - 1)
+            return F.when(i > 0, F.coalesce(F.try_divide(_dot(F.get(x["v"], i - 1), F.get(x["v"], i)), F.sqrt(n1) * F.sqrt(n2)), F.lit(0.0)))
+
+        return F.transform(x["n"], one)
+
+    norms = F.transform(v, lambda x: _dot(x, x))
+    return F.transform(F.array(F.struct(v.alias("v"), norms.alias("n"))), inside)[0]
 
 
 def adjacent_similarity(docs: DataFrame, key: str, dims: int = 32) -> DataFrame:
-    """(key, pos, sim): each sentence's cosine with the one before, 0 where either has no weight; the first has null."""
-    v = sentence_vectors(docs, key, dims)
-    norms = v.groupBy(key, "pos").agg(F.sum(F.col("w") * F.col("w")).alias("n2"))
-    after = v.select(key, (F.col("pos") - 1).alias("pos"), "dim", F.col("w").alias("w2"))
-    dots = v.join(after, [key, "pos", "dim"]).groupBy(key, "pos").agg(F.sum(F.col("w") * F.col("w2")).alias("d"))
-    s = sentence_rows(docs, key).join(norms, [key, "pos"], "left")
-    prior = Window.partitionBy(key).orderBy("pos")
-    s = s.withColumn("n1", F.lag("n2").over(prior)).join(dots.withColumn("pos", F.col("pos") + 1), [key, "pos"], "left")
-    sim = F.coalesce(F.try_divide(F.col("d"), F.sqrt(F.col("n1")) * F.sqrt(F.col("n2"))), F.lit(0.0))
-    return s.select(key, "pos", "text", F.when(F.col("pos") > 0, sim).alias("sim"))
+    """(key, pos, text, sim): each sentence's cosine with the one before, 0 where either has no weight; the first has null."""
+    rows = _with_sentences(docs.select(key, "text"), dims)
+    return rows.select(key, F.posexplode(F.arrays_zip("s", _similarities(F.col("v")).alias("sim"))).alias("pos", "z")).select(key, "pos", F.col("z.s").alias("text"), "z.sim")
 
 
 def semantic(docs: DataFrame, key: str, threshold: float = 0.6, dims: int = 32) -> DataFrame:
-    """Sentences joined while each resembles the one before at least by `threshold`: (key, pos, n_sentences, text)."""
-    s = adjacent_similarity(docs, key, dims)
-    cut = (F.coalesce("sim", F.lit(1.0)) < threshold).cast("int")
-    s = s.withColumn("chunk", F.sum(cut).over(Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ")
-    return s.groupBy(key, F.col("chunk").alias("pos")).agg(F.count(F.lit(1)).alias("n_sentences"), joined.alias("text"))
+    """Sentences joined while each resembles the one before at least by `threshold`: (key, pos, n_sentences, text). No shuffle."""
+    rows = _with_sentences(docs.select(key, "text"), dims).select(key, "s", _similarities(F.col("v")).alias("sim"))
+    opens = F.transform("sim", lambda x, i: F.when((i == 0) | (x < threshold), i).otherwise(-1))
+    starts = rows.select(key, "s", F.filter(opens, lambda i: i >= 0).alias("at"))
+    cut = starts.select(key, "s", "at", F.posexplode("at").alias("pos", "start"))
+    n = F.coalesce(F.get("at", F.col("pos") + 1), F.size("s")) - F.col("start")
+    return cut.select(key, "pos", n.cast("long").alias("n_sentences"), F.array_join(F.slice("s", F.col("start") + 1, n), " ").alias("text"))
 
 
 def coherence(chunks: DataFrame, key: str, dims: int = 32) -> DataFrame:
     """Per document the mean, over chunks of two or more sentences, of the mean cosine of their sentence pairs; 0 if none.
 
-    The sum over pairs is (|sum of units|^2 - n) / 2, so that no pairs are made.
+    The sum over pairs is (|sum of units|^2 - n) / 2, so that no pairs are made; one shuffle, for the documents' means.
     """
-    rows = chunks.select(key, F.col("pos").alias("chunk"), F.posexplode(sentences(F.col("text"))).alias("pos", "text"))
-    words = rows.select(key, "chunk", "pos", F.explode(F.split(F.lower("text"), " ")).alias("token")).where("token <> ''")
-    v = hashed(words, [key, "chunk", "pos"], dims)
-    norms = v.groupBy(key, "chunk", "pos").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("n"))
-    units = v.join(norms, [key, "chunk", "pos"]).groupBy(key, "chunk", "dim").agg(F.sum(F.col("w") / F.col("n")).alias("u"))
-    squares = units.groupBy(key, "chunk").agg(F.sum(F.col("u") * F.col("u")).alias("sq"))
-    held = norms.groupBy(key, "chunk").agg(F.count(F.lit(1)).alias("m"))
-    count = rows.groupBy(key, "chunk").agg(F.count(F.lit(1)).alias("n"))
-    per = count.join(held, [key, "chunk"], "left").join(squares, [key, "chunk"], "left").where("n >= 2")
-    per = per.select(key, ((F.coalesce("sq", F.lit(0.0)) - F.coalesce("m", F.lit(0))) / (F.col("n") * (F.col("n") - 1))).alias("c"))
-    return chunks.select(key).distinct().join(per.groupBy(key).agg(F.avg("c").alias("c")), key, "left").select(key, F.coalesce("c", F.lit(0.0)).alias("coherence"))
+    rows = _with_sentences(chunks.select(key, "text"), dims)
+    norm = lambda x: F.sqrt(_dot(x, x))
+    units = F.transform(F.filter("v", lambda x: F.exists(x, lambda y: y != 0)), lambda x: F.struct(x.alias("v"), norm(x).alias("n")))
+    zero = F.array_repeat(F.lit(0.0), dims)
+    total = F.aggregate("units", zero, lambda a, x: F.zip_with(a, x["v"], lambda p, q: p + q / x["n"]))
+    square = F.aggregate(total, F.lit(0.0), lambda a, x: a + x * x)
+    n = F.size("s")
+    per = rows.withColumn("units", units).select(key, F.when(n >= 2, (square - F.size("units")) / (n * (n - 1))).alias("c"))
+    return per.groupBy(key).agg(F.coalesce(F.avg("c"), F.lit(0.0)).alias("coherence"))
 
 
 def best_strategy(docs: DataFrame, key: str, strategies: dict[str, Callable[[DataFrame], DataFrame]], dims: int = 32) -> DataFrame:
@@ -200,15 +218,18 @@ def best_strategy(docs: DataFrame, key: str, strategies: dict[str, Callable[[Dat
 
 
 def pooled(chunks: DataFrame, key: str, dims: int = 32, weight: float = 0.5) -> DataFrame:
-    """Late chunking in long form: each chunk's mean word vector plus `weight` of its document's: (key, pos, dim, w)."""
-    words = chunks.select(key, "pos", F.explode(F.split(F.lower("text"), " ")).alias("token")).where("token <> ''")
-    n = words.groupBy(key, "pos").agg(F.count(F.lit(1)).alias("n"))
-    own = hashed(words, [key, "pos"], dims).join(n, [key, "pos"])
-    doc = own.groupBy(key, "dim").agg(F.sum("w").alias("wd"))
-    total = n.groupBy(key).agg(F.sum("n").alias("nd"))
-    places = n.select(key, "pos", "n").join(doc, key).join(total, key)
-    both = places.join(own.select(key, "pos", "dim", "w"), [key, "pos", "dim"], "left")
-    return both.select(key, "pos", "dim", (F.coalesce("w", F.lit(0)) / F.col("n") + weight * F.col("wd") / F.col("nd")).alias("w"))
+    """Late chunking in long form: each chunk's mean word vector plus `weight` of its document's: (key, pos, dim, w).
+
+    Vectors are made inside the chunks' rows; one shuffle brings a document's together.
+    """
+    words = F.filter(_words(F.col("text")), lambda w: w != "")
+    own = chunks.select(key, "pos", words.alias("t")).where(F.size("t") > 0).select(key, "pos", F.size("t").alias("n"), word_vector(F.col("t"), dims).alias("v"))
+    whole = own.groupBy(key).agg(F.collect_list(F.struct("pos", "n", "v")).alias("c"), F.sum("n").alias("nd"))  # one document's chunks
+    dims_of = F.sequence(F.lit(0), F.lit(dims - 1))
+    sums = F.transform(dims_of, lambda d: F.struct(d.alias("dim"), F.aggregate("c", F.lit(0).cast("long"), lambda a, x: a + x["v"][d]).alias("wd"), F.exists("c", lambda x: x["v"][d] != 0).alias("some")))
+    spread = whole.withColumn("sums", F.filter(sums, lambda x: x["some"])).select(key, "nd", "sums", F.explode("c").alias("x"))
+    long = spread.select(key, F.col("x.pos").alias("pos"), F.col("x.n").alias("n"), F.col("x.v").alias("v"), "nd", F.explode("sums").alias("y"))
+    return long.select(key, "pos", F.col("y.dim").alias("dim"), (F.get("v", F.col("y.dim")) / F.col("n") + weight * F.col("y.wd") / F.col("nd")).alias("w"))
 
 
 def parsed_propositions(outputs: DataFrame, text: str = "text", output: str = "output") -> Column:
