@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Callable, Iterator
+from operator import mul
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -137,54 +141,72 @@ def recursive(docs: DataFrame, key: str, size: int = 512, overlap: int = 50, sep
     return docs.select(key, F.posexplode(pieces("text")).alias("pos", "text")).where(F.length("text") >= min_chars)
 
 
-def word_vector(words: Column, dims: int) -> Column:
-    """Signed feature hashing of an array of words into `dims` whole numbers, inside the row."""
-    hashes = F.transform(F.filter(words, lambda w: w != ""), lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("long"))
-    cells = F.transform(hashes, lambda h: F.struct((h % dims).alias("d"), F.when(F.floor(h / dims) % 2 == 0, 1).otherwise(-1).alias("s")))
+#: Words whose hashes a worker remembers.
+MEMO = 200_000
+_cells: dict[tuple[str, int], tuple[int, int]] = {}
 
-    def summed(c: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.aggregate(F.filter(c, lambda x: x["d"] == d), F.lit(0).cast("long"), lambda a, x: a + x["s"]))
 
-    return F.transform(F.array(cells), summed)[0]
+def bag_vector(text: str, dims: int) -> list[int]:
+    """Signed feature hashing of a text's words (between spaces) into `dims` whole numbers."""
+    out = [0] * dims
+    for w in text.split(" "):
+        if w:
+            cell = _cells.get((w, dims))
+            if cell is None:
+                if len(_cells) >= MEMO:
+                    _cells.clear()
+                h = int(hashlib.md5(w.encode()).hexdigest()[:8], 16)
+                cell = _cells[w, dims] = h % dims, 1 - 2 * (h // dims % 2)
+            out[cell[0]] += cell[1]
+    return out
+
 
+def _dot(a: list, b: list) -> float:
+    return sum(map(mul, a, b))
 
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0).cast("long"), lambda s, v: s + v)
 
+def adjacent_cosines(texts: list[str], dims: int) -> list[float | None]:
+    """Each text's cosine with the one before, 0 where either has no weight; the first has None."""
+    vectors = [bag_vector(t, dims) for t in texts]
+    norms = [math.sqrt(_dot(v, v)) for v in vectors]
+    return [None if i == 0 else _dot(vectors[i - 1], vectors[i]) / (norms[i - 1] * norms[i]) if norms[i - 1] and norms[i] else 0.0 for i in range(len(texts))]
 
-def _words(text: Column) -> Column:
-    return F.split(F.lower(text), " ")
 
+def mean_cosine(texts: list[str], dims: int) -> float | None:
+    """The mean cosine of a chunk's pairs of sentences, None for fewer than two: (|sum of units|^2 - units) / (n (n - 1))."""
+    if len(texts) < 2:
+        return None
+    total, m = np.zeros(dims), 0
+    for v in (bag_vector(t, dims) for t in texts):
+        if n := math.sqrt(_dot(v, v)):
+            total += np.array(v) / n
+            m += 1
+    return float((total * total).sum() - m) / (len(texts) * (len(texts) - 1))
 
-def _with_sentences(docs: DataFrame, dims: int) -> DataFrame:
-    """`docs` with s (sentences) and v (their vectors), all inside the row."""
-    split = docs.withColumn("s", sentences(F.col("text")))
-    return split.withColumn("v", F.transform("s", lambda x: word_vector(_words(x), dims)))
 
+def _row_wise(rule: Callable, kind: str, dims: int) -> Callable[[Column], Column]:
+    """`rule` over each row's value, in Arrow batches: hashing words is no built-in's work, and the rows need no shuffle so."""
 
-def _similarities(v: Column) -> Column:
-    """Each vector's cosine with the one before, 0 where either is zero; the first has null."""
+    @F.pandas_udf(kind)
+    def run(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda x: rule(x, dims))
 
-    def inside(x: Column) -> Column:
-        def one(n2: Column, i: Column) -> Column:
-            n1 = F.get(x["n"], i - 1)
-            return F.when(i > 0, F.coalesce(F.try_divide(_dot(F.get(x["v"], i - 1), F.get(x["v"], i)), F.sqrt(n1) * F.sqrt(n2)), F.lit(0.0)))
+    return run
 
-        return F.transform(x["n"], one)
 
-    norms = F.transform(v, lambda x: _dot(x, x))
-    return F.transform(F.array(F.struct(v.alias("v"), norms.alias("n"))), inside)[0]
+def _lowered(texts: Column) -> Column:
+    return F.transform(texts, lambda x: F.lower(x))
 
 
 def adjacent_similarity(docs: DataFrame, key: str, dims: int = 32) -> DataFrame:
     """(key, pos, text, sim): each sentence's cosine with the one before, 0 where either has no weight; the first has null."""
-    rows = _with_sentences(docs.select(key, "text"), dims)
-    return rows.select(key, F.posexplode(F.arrays_zip("s", _similarities(F.col("v")).alias("sim"))).alias("pos", "z")).select(key, "pos", F.col("z.s").alias("text"), "z.sim")
+    rows = docs.where("text IS NOT NULL").select(key, sentences(F.col("text")).alias("s")).withColumn("sim", _row_wise(adjacent_cosines, "array<double>", dims)(_lowered(F.col("s"))))
+    return rows.select(key, F.posexplode(F.arrays_zip("s", "sim")).alias("pos", "z")).select(key, "pos", F.col("z.s").alias("text"), "z.sim")
 
 
 def semantic(docs: DataFrame, key: str, threshold: float = 0.6, dims: int = 32) -> DataFrame:
     """Sentences joined while each resembles the one before at least by `threshold`: (key, pos, n_sentences, text). No shuffle."""
-    rows = _with_sentences(docs.select(key, "text"), dims).select(key, "s", _similarities(F.col("v")).alias("sim"))
+    rows = docs.where("text IS NOT NULL").select(key, sentences(F.col("text")).alias("s")).withColumn("sim", _row_wise(adjacent_cosines, "array<double>", dims)(_lowered(F.col("s"))))
     opens = F.transform("sim", lambda x, i: F.when((i == 0) | (x < threshold), i).otherwise(-1))
     starts = rows.select(key, "s", F.filter(opens, lambda i: i >= 0).alias("at"))
     cut = starts.select(key, "s", "at", F.posexplode("at").alias("pos", "start"))
@@ -197,15 +219,8 @@ def coherence(chunks: DataFrame, key: str, dims: int = 32) -> DataFrame:
 
     The sum over pairs is (|sum of units|^2 - n) / 2, so that no pairs are made; one shuffle, for the documents' means.
     """
-    rows = _with_sentences(chunks.select(key, "text"), dims)
-    norm = lambda x: F.sqrt(_dot(x, x))
-    units = F.transform(F.filter("v", lambda x: F.exists(x, lambda y: y != 0)), lambda x: F.struct(x.alias("v"), norm(x).alias("n")))
-    zero = F.array_repeat(F.lit(0.0), dims)
-    total = F.aggregate("units", zero, lambda a, x: F.zip_with(a, x["v"], lambda p, q: p + q / x["n"]))
-    square = F.aggregate(total, F.lit(0.0), lambda a, x: a + x * x)
-    n = F.size("s")
-    per = rows.withColumn("units", units).select(key, F.when(n >= 2, (square - F.size("units")) / (n * (n - 1))).alias("c"))
-    return per.groupBy(key).agg(F.coalesce(F.avg("c"), F.lit(0.0)).alias("coherence"))
+    rows = chunks.where("text IS NOT NULL").select(key, _row_wise(mean_cosine, "double", dims)(_lowered(sentences(F.col("text")))).alias("c"))
+    return rows.groupBy(key).agg(F.coalesce(F.avg("c"), F.lit(0.0)).alias("coherence"))
 
 
 def best_strategy(docs: DataFrame, key: str, strategies: dict[str, Callable[[DataFrame], DataFrame]], dims: int = 32) -> DataFrame:
@@ -222,8 +237,8 @@ def pooled(chunks: DataFrame, key: str, dims: int = 32, weight: float = 0.5) ->
 
     Vectors are made inside the chunks' rows; one shuffle brings a document's together.
     """
-    words = F.filter(_words(F.col("text")), lambda w: w != "")
-    own = chunks.select(key, "pos", words.alias("t")).where(F.size("t") > 0).select(key, "pos", F.size("t").alias("n"), word_vector(F.col("t"), dims).alias("v"))
+    n = F.size(F.filter(F.split(F.lower("text"), " "), lambda w: w != ""))
+    own = chunks.select(key, "pos", n.alias("n"), "text").where("n > 0").select(key, "pos", "n", _row_wise(bag_vector, "array<long>", dims)(F.lower("text")).alias("v"))
     whole = own.groupBy(key).agg(F.collect_list(F.struct("pos", "n", "v")).alias("c"), F.sum("n").alias("nd"))  # one document's chunks
     dims_of = F.sequence(F.lit(0), F.lit(dims - 1))
     sums = F.transform(dims_of, lambda d: F.struct(d.alias("dim"), F.aggregate("c", F.lit(0).cast("long"), lambda a, x: a + x["v"][d]).alias("wd"), F.exists("c", lambda x: x["v"][d] != 0).alias("some")))
