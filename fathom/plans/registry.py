@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from fathom.plans import chunking, extras, reasoning, search
+from fathom.plans import chunking, extras, reasoning, search, transform
 
-MODULES = [chunking, search, reasoning, extras]
+MODULES = [chunking, search, reasoning, extras, transform]
 
 
 def queries() -> dict:
