@@ -3,14 +3,16 @@
 Of all suffixes (one per word) those at minimisers are kept: in each window of LENGTH words, the leftmost start
 of the KEY-word sequence with the least hash. The choice depends on the window's words alone, so two equal
 passages of LENGTH words keep suffixes at the same place in them. Kept suffixes whose KEY words occur in one
-document only cannot be shared and go. The others are sorted by what follows their key (then by what precedes
-it, read backwards) and again the other way round; each is compared with its nearest neighbours from other
-documents on both sides, and the match is extended to the left and right, CONTEXT words at most: longer
-passages keep further suffixes, whose matches adjoin. Neighbours alone can miss a window of LENGTH words whose
-two ends are shared with different documents, so the windows around each key are also counted exactly: a window
-with `a` words ahead of its key can be shared only if some other document agrees on `a` words ahead, which the
-nearest neighbour in that order tells; each such window gets a hash, and hashes of two documents or more are
-matches. Matches of LENGTH words or more are joined to passages.
+document only cannot be shared and go. The others are sorted by key, what follows it, and what precedes it, read
+backwards; each is compared with its nearest neighbours from other documents on both sides, and the match is
+extended to the left and right, CONTEXT words at most: longer passages keep further suffixes, whose matches
+adjoin. Neighbours alone can miss a window of LENGTH words that is shared with a document further off, so the
+windows around each key are also counted exactly: a window with `a` words ahead of its key can be shared only if
+some other document agrees on `a` words ahead, which the nearest neighbour tells; each such window gets a hash,
+and hashes of two documents or more are matches. Matches of LENGTH words or more are joined to passages.
+
+The order is cut into ranges of rows, so a frequent key takes several tasks. The neighbours of a range's first and
+last document are in other tasks; all windows around their keys are counted instead.
 
 Words are compared by hashes (24 bits each beyond the key's 64). Texts with fewer than LENGTH words, null or
 empty texts, and null ids have no passages; rows that repeat an id are one document; repetition inside one
@@ -175,11 +177,13 @@ def _windows(t: dict[str, np.ndarray], i: np.ndarray, agreed: np.ndarray) -> tup
     return i[at], t["pos"][i[at]] - (CONTEXT - ahead), window
 
 
-def matches(sorted_rows: DataFrame, exact: bool = False) -> DataFrame:
+def matches(sorted_rows: DataFrame) -> DataFrame:
     """(doc_id, first, last, window) of the matches of sorted suffixes with their neighbours; last is exclusive.
 
-    If exact, for suffixes sorted by what is ahead, also the windows that may be shared, by their hashes; window is
-    null in matches.
+    Also the windows that may be shared, by their hashes; window is null in matches. Partitions may begin and end
+    anywhere in the order: a suffix whose neighbour lies beyond its partition asks for every window around its key.
+    Any suffix between it and a match in another partition agrees with both as far as they do, or ends its
+    partition too, so both sides of a shared window ask for it.
     """
 
     def compared(t: dict[str, np.ndarray], upto: int, start: int) -> pa.RecordBatch:
@@ -191,6 +195,7 @@ def matches(sorted_rows: DataFrame, exact: bool = False) -> DataFrame:
         agreed = np.full(upto - start, -1, np.int64)
         for other in (edge[run_of[mine]] - 1, np.append(edge, n)[run_of[mine] + 1]):
             ok = (other >= 0) & (other < n)
+            agreed[~ok] = t["n_ahead"][mine[~ok]]
             i, j = mine[ok], other[ok]
             i, j = i[key[i] == key[j]], j[key[i] == key[j]]
             ahead = _common(t["ahead"][i], t["ahead"][j], np.minimum(t["n_ahead"][i], t["n_ahead"][j]))
@@ -199,10 +204,9 @@ def matches(sorted_rows: DataFrame, exact: bool = False) -> DataFrame:
             long = behind + KEY + ahead >= LENGTH
             i, ahead, behind = i[long], ahead[long], behind[long]
             out.append((doc[i], t["pos"][i] - behind, t["pos"][i] + KEY + ahead, np.zeros(len(i), np.uint64), np.ones(len(i), bool)))
-        if exact:
-            ask = np.flatnonzero(~_settled(t)[start:upto] & (agreed >= 0))
-            i, first, window = _windows(t, mine[ask], agreed[ask])
-            out.append((doc[i], first, first + LENGTH, window, np.zeros(len(i), bool)))
+        ask = np.flatnonzero(~_settled(t)[start:upto] & (agreed >= 0))
+        i, first, window = _windows(t, mine[ask], agreed[ask])
+        out.append((doc[i], first, first + LENGTH, window, np.zeros(len(i), bool)))
         columns = [np.concatenate([o[c] for o in out]) for c in range(5)]
         return pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1].astype(np.int32)), pa.array(columns[2].astype(np.int32)), pa.array(columns[3].view(np.int64), mask=columns[4])], names=["doc_id", "first", "last", "window"])
 
@@ -235,15 +239,16 @@ def passages(docs: DataFrame) -> DataFrame:
     reachable(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     kept = stored(anchors(rows))
-    shared = kept.groupBy("key").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1")).where("d0 <> d1").select("key")
+    # stored, so that the join's sides have exchanges of their own and a frequent key can be split
+    shared = stored(kept.groupBy("key").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1")).where("d0 <> d1").select("key"))
     places = kept.join(shared, "key").groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("places"))  # one document's at a time
     suffixes = stored(contexts(rows.join(places, "doc_id").select("doc_id", "text", "places")))
-    one, two = (suffixes.repartition("key").sortWithinPartitions("key", *order, "doc_id", "pos") for order in (("ahead", "behind"), ("behind", "ahead")))
-    asked = stored(matches(one, exact=True))
+    order = ["key", "ahead", "behind", "doc_id", "pos"]
+    asked = stored(matches(suffixes.repartitionByRange(*order).sortWithinPartitions(*order)))
     windows = asked.where("window IS NOT NULL")
     common = windows.groupBy("window").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1")).where("d0 <> d1").select("window")
     span = ["doc_id", "first", "last"]
-    found = asked.where("window IS NULL").select(span).union(matches(two).select(span)).union(windows.join(common, "window", "left_semi").select(span))
+    found = asked.where("window IS NULL").select(span).union(windows.join(common, "window", "left_semi").select(span))
     by = Window.partitionBy("doc_id").orderBy("first", F.desc("last"))
     before = F.max("last").over(by.rowsBetween(Window.unboundedPreceding, -1))
     islands = found.distinct().withColumn("new", (F.coalesce(before, F.lit(-1)) < F.col("first")).cast("int")).withColumn("island", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))

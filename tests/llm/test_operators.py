@@ -456,6 +456,31 @@ def test_passages_among_other_sharers(docs):
     assert dict(got) == brute_passages(rows)
 
 
+def test_passages_over_cut_keys(spark, docs):
+    """Ranges that end inside a key's suffixes, and inside its copies, lose no passage."""
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    stock = [word() for _ in range(160)]
+    rows = []
+    for i in range(240):
+        a = rng.randrange(0, 110)
+        rows.append((i, " ".join([word() for _ in range(rng.randrange(40))] + stock[a : a + rng.randrange(26, 75)] + [word() for _ in range(rng.randrange(40))])))
+    rows += [(1000 + i, " ".join(stock[:90])) for i in range(60)] + [(2000, " ".join(stock[10:60] * 30)), (2001, " ".join(stock[10:60] * 2))]
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "61"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        found = substring_dedup.passages(docs(rows)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    got = defaultdict(set)
+    for r in found:
+        got[r["doc_id"]] |= set(range(r["start_word"], r["end_word"]))
+    assert dict(got) == brute_passages(rows)
+
+
 def test_registered():
     names = list(queries.queries())
     assert [n.split("_")[0] for n in names] == [f"op{i}" for i in (1, 2, 3, 4, 5, 6, 7, 8, 9, 10)] or len({n.split("_")[0] for n in names}) == 10
