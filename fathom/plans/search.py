@@ -51,9 +51,8 @@ def _bm25_topk(s, d):
 
 def _hybrid(s, d):
     # the dense side: hashed word vectors are scored as sparse vectors
-    lex = vector.ranked(_bm25(s, d), 10).withColumn("list_id", F.lit(0))
-    sparse = vector.ranked(_sparse(s, d), 10).withColumn("list_id", F.lit(1))
-    return vector.ranked(fuse.rrf(lex.union(sparse)), K).select("query_id", "item_id", "score", "rank")
+    fused = fuse.rrf_of_full_ranks([_bm25(s, d), _sparse(s, d)], _docs(s, d), _asked(s, d), K)
+    return vector.ranked(fused, K).select("query_id", "item_id", "score", "rank")
 
 
 def _weights(items, name, w):
@@ -291,6 +290,9 @@ _BM = bm25_sql(_ITEMS, _ASKED)
 _WT = lambda key, src, w: f"SELECT {key}, token, count(*) AS {w} FROM (SELECT {key}, unnest(string_split(lower(text), ' ')) AS token FROM ({src})) WHERE token <> '' GROUP BY ALL"
 _SP = f"sp AS (SELECT query_id, item_id, sum(w * qw)::DOUBLE AS score FROM ({_WT('item_id', _ITEMS, 'w')}) JOIN ({_WT('query_id', _ASKED, 'qw')}) USING (token) GROUP BY query_id, item_id)"
 _RRF = lambda lists, k=K: _RANK(f"SELECT query_id, item_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM ({lists}) GROUP BY query_id, item_id", k)
+_ALL_RANKS = lambda scored: f"""SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank
+  FROM (SELECT q.item_id AS query_id, d.doc_id AS item_id, greatest(coalesce(score, 0), 0)::DOUBLE AS score
+        FROM benchmark q CROSS JOIN documents d LEFT JOIN {scored} s ON s.query_id = q.item_id AND s.item_id = d.doc_id)"""
 _SHORT = _COS("qvec[1:16]", "vec[1:16]")
 _LISTS = f"SELECT 0 AS list_id, * FROM ({_RANK(_SCORED(), 10)}) UNION ALL SELECT 1, * FROM ({_RANK(_SCORED(_SHORT), 10)})"
 _VARIANTS = """SELECT item_id * 10 + i AS query_id, CASE i WHEN 0 THEN text WHEN 1 THEN array_to_string(w[1:h], ' ') ELSE array_to_string(w[h + 1:], ' ') END AS text
@@ -387,7 +389,7 @@ SQL = {
     "sparse_dot": f"WITH {_SP} {_RANK('SELECT * FROM sp', K)}",
     "bm25_topk": f"WITH {_BM} {_RANK('SELECT * FROM b', K)}",
     "bm25_full_ranks": f"WITH {_BM} {_RANK('SELECT q.item_id AS query_id, d.doc_id AS item_id, greatest(coalesce(score, 0), 0) AS score FROM benchmark q CROSS JOIN documents d LEFT JOIN b ON b.query_id = q.item_id AND b.item_id = d.doc_id', 10)}",
-    "hybrid_rrf": f"WITH {_BM}, {_SP} " + _RRF(f"{_RANK('SELECT * FROM b', 10)} UNION ALL {_RANK('SELECT * FROM sp', 10)}"),
+    "hybrid_rrf": f"WITH {_BM}, {_SP} " + _RRF(f"{_ALL_RANKS('b')} UNION ALL {_ALL_RANKS('sp')}"),
     "rrf": f"WITH {_V} {_RRF(_LISTS)}",
     "rrf_of_scores": f"WITH {_V} {_RRF(_LISTS)}",
     "rrf_by_text": f"WITH {_BM} " + _RRF(f"SELECT query_id, min(e.doc_id) OVER (PARTITION BY query_id, h.item_id) AS item_id, rank FROM ({_RANK('SELECT * FROM b', 10)}) h JOIN documents d ON d.doc_id = h.item_id JOIN (SELECT text, min(doc_id) AS doc_id FROM documents GROUP BY text) e ON e.text = d.text"),
