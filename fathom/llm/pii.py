@@ -51,7 +51,7 @@ _GAP = r"(?:[._/]|\x20{2}|\x20-\x20)"
 WIDE = {
     "email": [
         (f"(?<![{_LOCAL}])[{_LOCAL}]{{1,64}}{_AT}[A-Za-z0-9-]{{1,63}}(?:{_DOT}\x20?[A-Za-z0-9-]{{2,24}}){{1,3}}", r"(?i)\bat\b"),
-        (f"(?<![{_LOCAL}])[{_LOCAL}]{{1,64}}\x20?@\x20?[A-Za-z0-9-]{{1,63}}(?:\x20?\.\x20?[A-Za-z0-9-]{{2,24}}){{1,3}}", "@"),
+        (f"(?<![{_LOCAL}])[{_LOCAL}]{{1,64}}\x20?@\x20?[A-Za-z0-9-]{{1,63}}(?:\x20?\\.\x20?[A-Za-z0-9-]{{2,24}}){{1,3}}", "@"),
     ],
     "ip": [
         (r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\x20?[\[(]\.[\])]\x20?[0-9]{1,3}){3}(?![0-9A-Za-z])", r"[0-9]\x20?[\[(]\."),
