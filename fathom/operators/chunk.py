@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from fathom.functions.text import sentences, stripped
 
 
+#: Windows that are cut from one piece of the text.
+RUN = 16
+
+
 def windows(docs: DataFrame, key: str, size: int, overlap: int, min_chars: int = 1, pure_tail: bool = True, strip: bool = True) -> DataFrame:
     """Fixed windows of `size` characters every size - overlap.
 
@@ -24,10 +28,12 @@ def windows(docs: DataFrame, key: str, size: int, overlap: int, min_chars: int =
     step = size - overlap
     n = F.length("text")
     last = n - 1 if pure_tail else F.greatest(F.lit(0), n - overlap - 1)
-    starts = F.when(n > 0, F.sequence(F.lit(0), last, F.lit(step))).otherwise(F.array().cast("array<int>"))
-    cut = docs.select(key, "text", F.posexplode(starts).alias("pos", "start"))
-    piece = F.substring(F.col("text"), F.col("start") + 1, F.lit(size))
-    return cut.select(key, "pos", "start", (stripped(piece) if strip else piece).alias("text")).where(F.length("text") >= min_chars)
+    # cut by runs of windows, then by windows: a substring counts characters from its text's start
+    runs = F.transform(F.when(n > 0, F.sequence(F.lit(0), last, F.lit(step * RUN))), lambda i: F.struct(i.alias("at"), F.substring(F.col("text"), i + 1, F.lit(step * (RUN - 1) + size)).alias("part")))
+    offsets = lambda at: F.sequence(F.lit(0), F.least(last - at, F.lit(step * (RUN - 1))), F.lit(step))
+    pieces = F.flatten(F.transform(runs, lambda r: F.transform(offsets(r["at"]), lambda o: F.struct((r["at"] + o).alias("start"), F.substring(r["part"], o + 1, F.lit(size)).alias("text")))))
+    cut = docs.select(key, F.posexplode(pieces).alias("pos", "piece")).select(key, "pos", "piece.start", F.col("piece.text").alias("text"))  # cut before the explode: its rows do not carry the whole text
+    return cut.select(key, "pos", "start", (stripped(F.col("text")) if strip else F.col("text")).alias("text")).where(F.length("text") >= min_chars)
 
 
 def sentence_rows(docs: DataFrame, key: str) -> DataFrame:
@@ -37,8 +43,10 @@ def sentence_rows(docs: DataFrame, key: str) -> DataFrame:
 def sentence_groups(docs: DataFrame, key: str, per_chunk: int = 5, overlap: int = 1, min_chars: int = 40) -> DataFrame:
     """per_chunk sentences joined by spaces, the next chunk starting `overlap` sentences before the last one's end."""
     step = max(1, per_chunk - overlap)
-    split = docs.select(key, sentences(F.col("text")).alias("s")).select(key, "s", F.posexplode(F.sequence(F.lit(0), F.size("s") - 1, F.lit(step))).alias("pos", "start"))
-    return split.select(key, "pos", stripped(F.array_join(F.slice("s", F.col("start") + 1, per_chunk), " ")).alias("text")).where(F.length("text") >= min_chars)
+    split = docs.select(key, sentences(F.col("text")).alias("s"))
+    joined = F.transform(F.sequence(F.lit(0), F.size("s") - 1, F.lit(step)), lambda i: F.array_join(F.slice("s", i + 1, per_chunk), " "))
+    cut = split.select(key, F.posexplode(joined).alias("pos", "text"))  # joined before the explode: its rows do not carry all sentences
+    return cut.select(key, "pos", stripped(F.col("text")).alias("text")).where(F.length("text") >= min_chars)
 
 
 def sentence_windows(docs: DataFrame, key: str, around: int = 2) -> DataFrame:
@@ -56,8 +64,9 @@ def strips(docs: DataFrame, key: str, more_than: int = 20) -> DataFrame:
 def small_to_big(docs: DataFrame, key: str, parent: int = 1500, child: int = 250) -> DataFrame:
     """Children inside parents, both without overlap: (key, parent_pos, pos, text)."""
     big = windows(docs, key, parent, 0, strip=False).select(key, F.col("pos").alias("parent_pos"), "text")
-    cut = big.select(key, "parent_pos", "text", F.posexplode(F.sequence(F.lit(0), F.length("text") - 1, F.lit(child))).alias("pos", "start"))
-    return cut.select(key, "parent_pos", "pos", stripped(F.substring(F.col("text"), F.col("start") + 1, F.lit(child))).alias("text")).where("text <> ''")
+    pieces = F.transform(F.sequence(F.lit(0), F.length("text") - 1, F.lit(child)), lambda i: F.substring(F.col("text"), i + 1, F.lit(child)))
+    cut = big.select(key, "parent_pos", F.posexplode(pieces).alias("pos", "text"))
+    return cut.select(key, "parent_pos", "pos", stripped(F.col("text")).alias("text")).where("text <> ''")
 
 
 def sections(chunks: DataFrame, key: str, members: int = 5) -> DataFrame:
