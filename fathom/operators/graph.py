@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.sources.index_store import stored
+from fathom.sources.tables import reachable
 
 
 def built(triples: DataFrame, names: DataFrame | None = None) -> DataFrame:
@@ -39,6 +43,8 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 #: A key is looked up by broadcast if it has more than HUB_ROWS rows and more than one in HUBS of all rows: fewer than HUBS keys.
 HUB_ROWS, HUBS = 256, 10_000
+#: So many edges between 64-bit nodes are joined in one task (a megabyte) instead of by rounds of Spark jobs.
+TASK_EDGES = 1 << 16
 
 
 def looked_up(rows: DataFrame, key: str, other: str, pairs: DataFrame, n: int, name: str, counts: DataFrame | None = None) -> DataFrame:
@@ -46,11 +52,16 @@ def looked_up(rows: DataFrame, key: str, other: str, pairs: DataFrame, n: int, n
 
     Rows of frequent keys get theirs by broadcast, and are dealt by `other` (a column of the key's type) meanwhile, so
     that no key gathers its rows in one task. counts (node, count) are the keys' numbers of rows, if they are known.
+    Whether there are frequent keys is asked first: each broadcast costs the driver memory and threads.
     """
+    plain = lambda: rows.join(pairs.select(F.col("node").alias(key), F.col("to").alias(name)), key, "left").select(*rows.columns, name)
     if n <= HUB_ROWS:
-        return rows.join(pairs.select(F.col("node").alias(key), F.col("to").alias(name)), key, "left")
-    counts = rows.groupBy(F.col(key).alias("node")).count() if counts is None else counts
-    often = counts.where(F.col("count") > max(HUB_ROWS, n // HUBS)).select(F.col("node").alias("hub__"))  # fewer than HUBS
+        return plain()
+    known = rows.groupBy(F.col(key).alias("node")).count() if counts is None else counts
+    often = known.where(F.col("count") > max(HUB_ROWS, n // HUBS)).select(F.col("node").alias("hub__"))  # fewer than HUBS
+    often = stored(often) if counts is None else often
+    if not often.count():
+        return plain()
     images = pairs.join(F.broadcast(often), F.col("node") == F.col("hub__")).select(F.col("node").alias("at__"), F.col("to").alias("hub_to__"))
     hubs = often.join(F.broadcast(images), F.col("hub__") == F.col("at__"), "left").select("hub__", "hub_to__")
     marked = rows.join(F.broadcast(hubs), F.col(key) == F.col("hub__"), "left").withColumn("is_hub__", F.col("hub__").isNotNull())
@@ -65,20 +76,54 @@ def _moved(rows: DataFrame, key: str, other: str, pairs: DataFrame, n: int) -> D
     return found.select(*[F.coalesce("image__", key).alias(c) if c == key else F.col(c) for c in rows.columns])
 
 
+def smallest_reachable(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ends of the edges (a, b), and of each the smallest node reachable."""
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    low = np.arange(len(names))
+    while True:
+        x, y = low[x], low[y]
+        x, y = np.minimum(x, y), np.maximum(x, y)
+        x, y = x[x < y], y[x < y]
+        if not len(x):
+            return names, names[low]
+        np.minimum.at(low, y, x)
+        while (low[low] != low).any():
+            low = low[low]
+
+
+def _rooted_in_task(edges: DataFrame) -> DataFrame:
+    """(node, comp) of TASK_EDGES edges (a, b) at most, by one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
+        if ends:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in smallest_reachable(*map(np.concatenate, zip(*ends, strict=True)))], names=["node", "comp"])
+
+    reachable(edges.sparkSession)
+    return edges.select("a", "b").coalesce(1).mapInArrow(run, "node long, comp long")
+
+
 def rooted(edges: DataFrame) -> DataFrame:
     """(node, comp) of every node of the edges (a, b); comp is the smallest node reachable, in the order of the node's type.
 
     Each round hooks every node to its smallest neighbour if that is smaller, halves the hooks' paths by pointer
     jumping until all point at their roots, and contracts the edges to roots; it ends when no edge is left. A path in
     order of its names takes one round of log2(length) jumps; among names in random order (see components) every round
-    leaves a constant share of the nodes. Nothing is collected, and no node gathers its edges in one task.
+    leaves a constant share of the nodes. Nothing is collected, and no node gathers its edges in one task, but when
+    TASK_EDGES edges or fewer are left, whatever their nodes: one task joins these.
     """
     ends = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = stored(ends.distinct())
+    limit = TASK_EDGES if dict(rest.dtypes)["a"] == "bigint" else 0
+    if limit and rest.count() <= limit:
+        return stored(_rooted_in_task(rest))
     nodes = rest.select(F.col("a").alias("node")).union(rest.select("b")).distinct()
     labels, n_labels = stored(nodes.withColumn("comp", F.col("node"))), None
     while n := rest.count():
         n_labels = n_labels or labels.count()
+        if n <= limit:
+            return stored(_moved(labels, "comp", "node", stored(_rooted_in_task(rest)).withColumnRenamed("comp", "to"), n_labels))
         hooks = stored(rest.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("to")))
         n_hooks, open_ = hooks.count(), True
         while open_:
