@@ -14,6 +14,7 @@ ValueError for a broken file, and for one whose canvas or frames have more than
 from __future__ import annotations
 
 import hashlib
+import threading
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,7 +34,6 @@ LEVELS = 4
 BINS = LEVELS**3
 MOST_PIXELS = 1 << 26
 CLEAR, END = 256, 257
-_BYTES = [bytes([i]) for i in range(256)]
 RAMP = np.repeat(np.arange(256, dtype=np.uint8), 3).reshape(256, 3)
 
 
@@ -43,89 +43,133 @@ def code_widths(bits: int, n: int) -> np.ndarray:
     return np.minimum(12, np.maximum(bits + 1, np.floor(np.log2(held)).astype(np.int64) + 1))
 
 
-_WIDTHS = code_widths(8, 4200)
+#: No more codes than these differ in width; the rest have 12 bits.
+BLOCK = 4100
+_WIDTHS = code_widths(8, BLOCK)
+#: Pixels that a numpy pass expands at a time.
+GROUP = 1 << 16
+_local = threading.local()
 
 
 def lzw_encode(pixels: bytes) -> bytes:
     """The code stream of 8-bit pixels; the table is cleared when it is full."""
-    codes, runs, table, free = [CLEAR], [1], {}, 258
-    put, get = codes.append, table.get
-    last = pixels[0]
-    for b in pixels[1:]:
-        key = last << 8 | b
-        found = get(key)
-        if found is not None:
-            last = found
-            continue
-        put(last)
-        if free < 4096:
-            table[key] = free
-            free += 1
-        else:
-            put(CLEAR)
-            runs.append(len(codes))
-            table.clear()
-            free = 258
-        last = b
-    put(last)
-    put(END)
-    since = np.arange(len(codes))
-    since -= np.repeat([0, *runs], np.diff([0, *runs, len(codes)]))
-    widths = _WIDTHS[since]
-    widths[0] = 9
-    bits = np.array(codes)[:, None] >> np.arange(12) & 1
-    return np.packbits(bits[np.arange(12) < widths[:, None]].astype(np.uint8), bitorder="little").tobytes()
+    if not hasattr(_local, "table"):
+        _local.table = [0] * (4096 << 8)
+    # codes stand as code << 8; table[code << 8 | pixel] is the longer entry, or 0, and all zeros again in the end
+    table, limit = _local.table, 4096 << 8
+    puts, runs, free, last, at = [CLEAR << 8], [1], 258 << 8, pixels[0] * 256, 1
+    try:
+        while at < len(pixels):
+            room = (limit - free) >> 8
+            for b in pixels[at : at + room]:
+                key = last + b
+                last = table[key]
+                if not last:
+                    puts.append(key)
+                    table[key] = free
+                    free += 256
+                    last = b * 256
+            at += room
+            while free == limit and at < len(pixels):
+                key = last + pixels[at]
+                last = table[key]
+                if not last:
+                    for k in puts[runs[-1] :]:
+                        table[k] = 0
+                    puts += [key, CLEAR << 8]
+                    runs.append(len(puts))
+                    free, last = 258 << 8, pixels[at] * 256
+                at += 1
+    finally:
+        for k in puts[runs[-1] :]:
+            table[k] = 0
+    puts += [last, END << 8]
+    codes = np.fromiter(puts, np.int64, len(puts)) >> 8
+    widths = np.concatenate([_WIDTHS[:1], *(_WIDTHS[:k] for k in np.diff([*runs, len(codes)]))])
+    ends = np.cumsum(widths)
+    where = ends - widths
+    # a code has 9 bits or more, so no two begin in the same byte
+    codes <<= where & 7
+    where >>= 3
+    out = np.zeros((int(ends[-1]) >> 3) + 3, np.uint8)
+    for k in range(3):
+        out[where + k] |= (codes >> 8 * k).astype(np.uint8)
+    return out[: (int(ends[-1]) + 7) >> 3].tobytes()
+
+
+def _expand(codes: np.ndarray, clear: int, out: np.ndarray, at: int) -> int:
+    """Writes the phrases of codes between two clears to out[at:], as far as it goes; returns where they end.
+
+    An entry is the phrase of the code it was made after and the pixel that follows, so a code's phrase stands in the
+    output already (from the start of that earlier code) and pointers to there, doubled until they rest, lead to literals.
+    """
+    entry, own = codes - clear - 2, np.arange(len(codes))
+    if codes[0] >= clear:
+        raise ValueError("a code stream starts with an unknown code")
+    if (entry >= own).any():
+        raise ValueError("a code stream has an unknown code")
+    literal = entry < 0
+    entry = np.where(literal, own, entry)
+    up, size = entry, (~literal).astype(np.int64)
+    while (more := size.take(up)).any():
+        size += more
+        up = up.take(up)
+    size += 1
+    ends = at + np.cumsum(size)
+    start = ends - size
+    back = start - start[entry]
+    # a pointer goes down its phrase's entries, then down those of the phrase after one of them
+    steps = (2 * int(size.max())).bit_length()
+    i, needed = 0, int(np.searchsorted(start, len(out)))
+    while i < needed:
+        a = int(start[i])
+        j = min(needed, int(np.searchsorted(start, a + GROUP)))
+        b = int(ends[j - 1])
+        pixel = np.arange(b - a)
+        source, value = pixel - np.repeat(back[i:j], size[i:j]), np.zeros(b - a, np.uint8)
+        plain = np.flatnonzero(literal[i:j]) + i
+        value[start[plain] - a] = codes[plain]
+        if i:
+            before = np.flatnonzero(source < 0)
+            value[before] = out[a + source[before]]
+            source[before] = before
+        for _ in range(steps):
+            source = source.take(source)
+        out[a:b] = value[source][: len(out) - a]
+        i = j
+    return int(ends[-1])
 
 
 def lzw_decode(data: bytes, bits: int, n: int) -> bytes:
-    """The first n pixels of a code stream whose literals have `bits` bits."""
+    """The first n pixels of a code stream whose literals have `bits` bits; what follows their codes and the next clear is not read."""
     clear, end = 1 << bits, (1 << bits) + 1
-    widths = _WIDTHS if bits == 8 else code_widths(bits, 4200)
-    raw = np.frombuffer(data + b"\0\0\0\0", np.uint8).astype(np.int64)
-    total = len(data) * 8
-    table, out, last, size, at, read = [], [], None, 0, 0, 0
-    literals = _BYTES[:clear]
-    while size < n:
-        w = widths[np.minimum(np.arange(read, read + 4100), len(widths) - 1)]
-        where = at + np.concatenate([[0], np.cumsum(w)[:-1]])
-        w = w[where + w <= total]
-        if not len(w):
-            break
-        where = where[: len(w)]
-        byte = where >> 3
-        codes = (raw[byte] | raw[byte + 1] << 8 | raw[byte + 2] << 16) >> (where & 7) & ((1 << w) - 1)
-        stop = np.flatnonzero((codes == clear) | (codes == end))
-        upto = int(stop[0]) if len(stop) else len(codes)
-        if not table:
-            table = literals + [b"", b""]
-        for code in codes[:upto].tolist():
-            if last is None:
-                if code >= clear:
-                    raise ValueError("a code stream starts with an unknown code")
-                last = table[code]
-            elif code < len(table):
-                entry = table[code]
-                if len(table) < 4096:
-                    table.append(last + entry[:1])
-                last = entry
-            elif code == len(table) and code < 4096:
-                last += last[:1]
-                table.append(last)
+    widths = _WIDTHS if bits == 8 else code_widths(bits, BLOCK)
+    ends = np.cumsum(widths)
+    words = np.ndarray(len(data) + 1, "<u4", data + b"\0\0\0\0", strides=(1,))  # four bytes from each byte on
+    out, size, at, stop = np.empty(n, np.uint8), 0, 0, clear
+    while size < n and stop == clear:
+        got, read, stop = [], 0, None
+        while stop is None and size + read < n + 1:
+            if read:
+                w = np.full(min(BLOCK, (len(data) * 8 - at) // 12), 12)
+                upto = np.arange(12, 12 * len(w) + 1, 12)
             else:
-                raise ValueError("a code stream has an unknown code")
-            out.append(last)
-        size = sum(map(len, out)) if not len(stop) or codes[upto] == end or at == 0 else size
-        if not len(stop):
-            at, read = int(where[-1] + w[-1]), read + upto
-            continue
-        if codes[upto] == end:
-            break
-        at, read, table, last = int(where[upto] + w[upto]), 0, [], None
-        size = size if size >= n else 0
-    pixels = b"".join(out)
-    if len(pixels) < n:
+                upto = ends[: np.searchsorted(ends, len(data) * 8 - at, side="right")]
+                w = widths[: len(upto)]
+            if not len(w):
+                break
+            where = at + upto - w
+            codes = words[where >> 3] >> (where & 7) & ((1 << w) - 1)
+            stops = np.flatnonzero(codes >> 1 == clear >> 1)
+            k = int(stops[0]) if len(stops) else len(codes) - 1
+            stop, at = int(codes[k]) if len(stops) else None, at + int(upto[k])
+            got.append(codes[:k] if len(stops) else codes)
+            read += len(got[-1])
+        if read:
+            size = _expand(np.concatenate(got), clear, out, size)
+    if size < n:
         raise ValueError("a code stream is too short")
-    return pixels[:n]
+    return out.tobytes()
 
 
 @dataclass
@@ -230,10 +274,10 @@ def composed(gif: Gif) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         before = (canvas.copy(), drawn.copy()) if f.disposal == 3 else None
         seen = f.indices[: area[0].stop - f.top, : area[1].stop - f.left]
         if f.transparent is None:
-            canvas[area], drawn[area] = f.palette[seen], True
+            canvas[area], drawn[area] = f.palette.take(seen, axis=0), True
         else:
             solid = seen != f.transparent
-            canvas[area][solid], drawn[area][solid] = f.palette[seen[solid]], True
+            canvas[area][solid], drawn[area][solid] = f.palette.take(seen[solid], axis=0), True
         yield canvas, drawn
         if f.disposal == 2:
             canvas[area], drawn[area] = 0, False
